@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, near_dup, packing, substring_dedup
+from . import bottom_k, kneser_ney, language_id, line_dedup, media, merge_dropout, near_dup, packing, substring_dedup, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,23 +20,74 @@ def remainder(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+#: (host, path, verdict) of op9.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op1_hierarchical_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder(4) == 2).alias("held_out"))
+    machines = language_id.train(docs.where("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), machines).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.report(documents(spark, sf_dir))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
     return kneser_ney.score(kneser_ney.train(docs.where("not held_out")), docs)
 
 
+def op4_tar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(documents(spark, sf_dir))
+
+
+def op5_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.report(documents(spark, sf_dir))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op10_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_kneser_ney, op6_lsh_forest, op8_best_two_fit, op10_level_doubling)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_hierarchical_svm, op2_bottom_k, op3_kneser_ney, op4_tar_shards, op5_simhash_lines, op6_lsh_forest, op7_merge_dropout, op8_best_two_fit, op9_url_trie, op10_level_doubling)
+}
+
+# The fits of op9 in order of precedence: more host labels, then the longer path.
+_OP9 = """
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+split AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+ruled AS (SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+    END AS rule FROM split)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_url_trie": _OP9}
