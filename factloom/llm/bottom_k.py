@@ -13,6 +13,8 @@ its own next one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,14 @@ def sketch(hashes: Column, k: int = K) -> Column:
 
 
 def with_sketch(df: DataFrame, text: str, name: str, k: int = K) -> DataFrame:
-    """df with the sketch of a text column.  The word hashes are a column of their own, so that they are made once."""
-    return df.withColumn(f"_{name}", F.transform(words(F.col(text)), lambda w: F.xxhash64(w))).withColumn(name, sketch(shingle_hashes(F.col(f"_{name}")), k)).drop(f"_{name}")
+    """df with the sketch of a text column."""
+    hashes = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    return df.withColumn(name, _let(hashes, lambda h: sketch(shingle_hashes(h), k)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once for each row: a lambda's variable is never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -60,8 +68,7 @@ def merge_all(df: DataFrame, keys: list[str], column: str, k: int = K) -> DataFr
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard likeness: how many of the k smallest of the union are in both."""
-    both = merge(a, b, k)
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both))
+    return _let(merge(a, b, k), lambda both: F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both)))
 
 
 def distinct_count(a: Column, k: int = K) -> Column:
