@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 
 def lines_of(files: DataFrame, *keys: str) -> DataFrame:
     """A row for each line of content, numbered from 1, with path and other key columns."""
@@ -25,8 +27,7 @@ def contains_snippet(docs: DataFrame, snippets: DataFrame) -> DataFrame:
     """
 
     def runs(text: Column) -> Column:
-        w = F.split(text, r"\s+")
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 3)), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return let(F.split(text, r"\s+"), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 3)), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
 
     words = F.split("snippet", r"\s+")
     key = F.when(F.size(words) >= 5, F.xxhash64(F.get(words, F.lit(1)), F.get(words, F.lit(2)), F.get(words, F.lit(3)))).otherwise(F.lit(0).cast("bigint"))
