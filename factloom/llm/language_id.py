@@ -196,13 +196,14 @@ def fit(rows: list[tuple[str, str]]) -> Machines:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, text_bytes: int = TRAIN_BYTES) -> Machines:
     """Machines from labelled docs (text, lang, doc_id): a sample of per_language texts of each language."""
     docs = docs.where("lang is not null and text is not null")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    whole = 1 << 62
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Machines()
-    limit = F.lit(0)
+    limit = F.lit(0)  # a fifth more than wanted of each language, so what comes to the driver doesn't grow with the input
     for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * 1.2 * per_language / n) + (1 << 24)))).otherwise(limit)
+        limit = F.when(F.col("lang") == lang, F.lit(min(whole, whole * 12 * per_language // (10 * n)))).otherwise(limit)
     picked = docs.where(place < limit).select("lang", F.substring("text", 1, text_bytes).alias("text"), place.alias("place"), "doc_id").orderBy("place", "doc_id", "text").limit(4 * per_language * len(counts)).collect()
     taken: dict[str, int] = defaultdict(int)
     rows = []
