@@ -224,7 +224,8 @@ def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False) ->
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     scan = materialize(_scan(docs, window), "halves")
     halves = scan.select("doc_id", F.explode("halves").alias("h"))
-    repeated = halves.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    # as a table of its own, the join below shuffles both sides itself, and adaptive execution may split a hot half
+    repeated = materialize(halves.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "repeated")
     marks = halves.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("repeated"))
     marks = materialize(marks, "marks")
     block = F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int").alias("block")
