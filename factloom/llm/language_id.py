@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Texts, lane, sliced
+from .textcore import Texts, lane, release, sliced
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
@@ -256,6 +256,7 @@ def predict(docs: DataFrame, machines: Machines) -> DataFrame:
         for b in sliced(batches, limit=1 << 20):
             langs, scores = decide(shared.value, Texts(b.column(names.index("text"))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        release()
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .textcore import Texts, Words, mix, sliced, span_hashes
+from .textcore import Texts, Words, mix, release, sliced, span_hashes
 
 CAPACITY = 1024
 END_ID = 2
@@ -156,7 +156,7 @@ _LATIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\xbf])+")
 
 @functools.cache
 def _encoder(tokenizer_file: str, ranks_file: str | None) -> UnitEncoder:
-    """One for each worker process, so that later tasks find the units of earlier ones."""
+    """One for each worker process: loading the vocabulary takes a second."""
     return UnitEncoder(tokenizer_file, ranks_file)
 
 
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, capacit
         encoder = _encoder(tokenizer_file, ranks_file)
         block = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in sliced(batches, limit=4 << 20):
+        for batch in sliced(batches):
             texts = Texts(batch.column("text"))
             buf = texts.buf.tobytes()
             if _WIDE_SPACE.search(buf):
@@ -193,6 +193,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, capacit
             cols = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth"])
+        encoder._clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .idfilter import maybe_in
 from .storage import materialize, parts
-from .textcore import Texts, Words, pack, run_starts, sliced, unpack, valid_windows, window_hashes
+from .textcore import Texts, Words, pack, release, run_starts, sliced, unpack, valid_windows, window_hashes
 
 WINDOW = 50
 
@@ -80,6 +80,7 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))],
                 names=["doc_id", "text_hash", "n_words", "sha", "halves"],
             )
+        release()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_words long, sha string, halves array<long>")
 
