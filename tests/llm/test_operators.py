@@ -136,6 +136,54 @@ def test_line_dedup(docs, rows, nothing, spark):
     assert line_dedup.strip(docs).columns == docs.columns
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Short and long lines with edited words, scattered typos and none: as many lines go as all pairs' edit similarity says."""
+    import duckdb
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choices(string.ascii_lowercase, k=r.randint(4, 7)))
+    lines = []
+    for k in range(160):
+        w = [word() for _ in range((4, 10, 14, 25)[k % 4])]
+        lines.append(" ".join(w))
+        if k % 3 == 0:  # one word
+            at = r.randrange(len(w))
+            lines.append(" ".join([*w[:at], "".join(r.choices(string.ascii_lowercase, k=len(w[at]))), *w[at + 1 :]]))
+        elif k % 3 == 1:  # letters here and there
+            c = list(lines[-1])
+            for at in r.sample(range(len(c)), len(c) // 20):
+                c[at] = "q" if c[at] != " " else " "
+            lines.append("".join(c))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l AS SELECT unnest(?) AS i, unnest(?) AS t", [list(range(len(lines))), lines])
+    links = con.sql("SELECT a.i, b.i FROM l a JOIN l b ON a.i < b.i AND levenshtein(a.t, b.t) <= floor(greatest(length(a.t), length(b.t)) * 0.1 + 1e-9)").fetchall()
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {i for i in range(len(lines)) if find(i) != i}
+    assert len(want) > 80
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in line_dedup.report(docs).where("n_removed > 0").collect()} == want
+
+
+def test_line_dedup_among_reordered_words(spark):
+    """Lines of the same words share all blocks; two that are near meet whatever sorts between them."""
+    r = random.Random(4)
+    base = ["".join(r.choices(string.ascii_lowercase, k=5)) for _ in range(20)] + ["ab", "cd"]
+    shuffled = [r.sample(base, len(base)) for _ in range(30)]
+    swapped = [*base[:20], "cd", "ab"]
+    rows = [(1, shuffled[0]), (5, base), *((6 + k, w) for k, w in enumerate(shuffled[1:])), (90, swapped)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert [x["doc_id"] for x in line_dedup.report(docs).where("n_removed > 0").collect()] == [90]
+
+
 def test_packing(docs, rows, nothing):
     from tokenizers import Tokenizer
 
