@@ -154,6 +154,26 @@ def window_hashes(h: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     return out[: len(h) - size + 1]
 
 
+def bit_majorities(h: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each run of count hashes from at on: a word with the bits that more than half of them have.
+
+    Bits are counted eight at a time in the bytes of a word, over pieces of at most 255 hashes that cannot overflow.
+    """
+    pieces = -(-count // 255)
+    first = np.cumsum(pieces) - pieces
+    step = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    begin = np.repeat(at, pieces) + 255 * step
+    out = np.zeros(len(count), dtype=_U)
+    for k in range(8):
+        eight = np.add.reduceat((h >> _U(k)) & _U(0x0101010101010101), begin).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(eight, first, axis=0, dtype=np.int64) if len(begin) > len(first) else eight.astype(np.int64)
+        more = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").reshape(-1).astype(_U)
+        # bit of byte lane i is bit 8 i + k
+        for i in range(8):
+            out |= (more >> _U(i) & _U(1)) << _U(8 * i + k)
+    return out
+
+
 def valid_windows(words: Words, size: int) -> np.ndarray:
     """Of all windows over the concatenated words, those inside one row."""
     n = len(words) - size + 1
@@ -190,10 +210,11 @@ def pack(*arrays: np.ndarray) -> bytes:
     return len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes | pa.Buffer) -> list[np.ndarray]:
+    blob = memoryview(blob)
     n = int.from_bytes(blob[:4], "little")
     at, out = 4 + n, []
-    for part in blob[4:at].decode().split(";"):
+    for part in bytes(blob[4:at]).decode().split(";"):
         kind, count = part.split(",")
         d = np.dtype(kind)
         out.append(np.frombuffer(blob, dtype=d, count=int(count), offset=at))
