@@ -98,11 +98,16 @@ def service_infra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.sum(F.coalesce("n", F.lit(1))).alias("n_customers"), F.round(F.sum("w"), 2).alias("weight"))
 
 
-@query(f"WITH {b.EVENTS} SELECT user_id AS run_id, count(*) AS n_events, count(*) FILTER (kind = 'db.transaction') AS n_errors, CAST(epoch_ms(max(ts)) AS BIGINT) AS last_ms FROM ev GROUP BY user_id ORDER BY last_ms DESC, run_id LIMIT 50")
+@query(
+    f"""WITH {b.EVENTS}, runs AS (SELECT user_id AS run_id, count(*) AS n_events, count(*) FILTER (kind = 'db.transaction') AS n_errors, max(ts) AS last FROM ev GROUP BY user_id)
+    SELECT run_id, n_events, n_errors, epoch_us(last) // 1000 AS last_ms FROM runs ORDER BY last DESC, run_id LIMIT 50"""
+)
 def run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs with a summary, newest first."""
-    ev = b.events(spark, sf_dir).groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n_events"), F.count_if(F.col("kind") == "db.transaction").alias("n_errors"), F.unix_millis(F.max("ts").cast("timestamp")).alias("last_ms"))
-    return ev.orderBy(F.desc("last_ms"), "run_id").limit(50)
+    errors = F.count_if(F.col("kind") == "db.transaction").alias("n_errors")
+    runs = b.events(spark, sf_dir).groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n_events"), errors, F.max("ts").alias("last"))
+    newest = runs.orderBy(F.desc("last"), "run_id").limit(50)
+    return newest.select("run_id", "n_events", "n_errors", F.unix_millis(F.col("last").cast("timestamp")).alias("last_ms"))
 
 
 @query(f"WITH {b.FINDINGS}, g AS (SELECT path, bool_or(concept LIKE '1%') AS has_tx, bool_or(concept LIKE '5%') AS has_queue FROM fd GROUP BY path) SELECT fid, CASE WHEN concept LIKE '1%' AND has_queue THEN 3 WHEN has_tx OR level = 'L3' THEN 2 ELSE 1 END AS case_level FROM fd LEFT JOIN g USING (path)")

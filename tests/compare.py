@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -23,8 +24,8 @@ def _cell(x: object) -> str:
         return str(int(x))
     if isinstance(x, float):
         return "nan" if math.isnan(x) else f"{x:.9g}"
-    if isinstance(x, int):
-        return f"{float(x):.9g}" if abs(x) < 1 << 53 else str(x)
+    if isinstance(x, Decimal) and x == x.to_integral_value():
+        return str(int(x))
     return str(x)
 
 
