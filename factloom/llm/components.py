@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges stay distributed; every round is one table in the shared folder.  The number of
-rounds grows with the logarithm of the longest path, and the number of edges never grows.
+Edges stay distributed; every round is a table in the shared folder.  The number of rounds
+grows with the logarithm of the longest path, and the number of edges never grows.  The
+least neighbour of each node is a table of its own, so that the join with it shuffles both
+sides and adaptive execution may split a node with very many edges.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from .storage import materialize
 
 def _least(edges: DataFrame) -> DataFrame:
     """For each node u of (u, v) rows the least of u and its neighbours."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,19 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends are ignored, loops and repeated edges are allowed; no edges give no rows.
     """
     kind = edges.schema[0].dataType
-    edges = materialize(edges.toDF("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    edges = edges.toDF("a", "b").where("a is not null and b is not null and a <> b")
+    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while edges.take(1):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = _least(large)
-        small = large.join(least, "u").select("v", "m", "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "edges")
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
+        large = materialize(large.where("u <> v").distinct(), "edges")
+        small = large.join(_least(large), "u").select("v", "m", "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        edges = materialize(small.where("u <> v").distinct(), "edges")
+        # done where every node has one neighbour, and none that has a smaller one itself
+        several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+        if not several.take(1) and not edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").take(1):
             break
-        before = after
     rooted = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return rooted.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).select(F.col("node").cast(kind), F.col("root").cast(kind))

@@ -126,6 +126,37 @@ def test_near_dup_in_crowded_regions(docs, rows):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_near_dup_in_regions_of_many(spark):
+    """Clusters of forty documents, many of whose pairs are near the limit: the components are those of all pairs."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choices(string.ascii_lowercase, k=6)) for _ in range(3000)]
+    rows = []
+    for _ in range(40):
+        base = r.choices(vocabulary, k=120)
+        for _ in range(40):
+            w = list(base)
+            for at in r.sample(range(120), r.randint(2, 4)):
+                w[at] = r.choice(vocabulary)
+            rows.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split(" ") for x in rows)]
+    links = [(i, j) for c in range(0, len(rows), 40) for i in range(c, c + 40) for j in range(c, i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    root = roots(links)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.report(docs).collect()}
+    assert 500 < len(set(root.values())) + len(rows) - len(root) < len(rows) - 200
+    assert got == {i: root.get(i, i) for i in range(len(rows))}
+
+
+def test_near_dup_edge_cases(spark):
+    """Rows without an id, equal rows, two texts of one id, columns with the operator's own names."""
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(None, a, 1), (None, None, 1), (7, a, 1), (7, a, 1), (5, a, 1), (5, b, 1), (9, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone_doc int")
+    got = sorted(map(tuple, near_dup.report(docs).collect()), key=str)
+    assert got == sorted([(None, 36, None, True), (None, 0, None, True), (7, 36, 5, False), (7, 36, 5, False), (5, 36, 5, True), (5, 36, 5, True), (9, 0, 9, True)], key=str)
+    assert sorted(map(str, map(tuple, near_dup.one_of_each(docs).collect()))) == sorted(str(x) for x in rows if x[0] != 7)
+
+
 def test_line_dedup(docs, rows, nothing, spark):
     got = {r["doc_id"]: r for r in line_dedup.report(docs).collect()}
     assert got[0]["n_lines"] == 0 and got[8]["n_removed"] == 0 and got[12]["n_removed"] == 1
@@ -247,7 +278,7 @@ def test_line_dedup_pigeonhole():
     s1, s2 = line_dedup.simhashes(lines, chosen)
     d = line_dedup.digests(lines, chosen)[0]
     block, of = line_dedup.blocks(lines, chosen, s1, s2)
-    a, b, _ = line_dedup.near(block, d[of], s1[of], lines.characters(chosen)[of], 500, 0.9)
+    a, b, _ = line_dedup.near(block, d[of], s1[of], s2[of], lines.characters(chosen)[of], 500, 0.9)
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     close = [(i, j) for i in range(len(rows)) for j in range(i) if 0 < np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j]) <= 3]
     assert len(close) > 20
