@@ -2,23 +2,26 @@
 
 A text's merges never cross from a word to the white space after it, so each unit (white
 space and the word it leads to) runs its own agenda: of all adjacent pairs that make a
-piece, the one with the best score (ties: the leftmost) comes first; it is skipped where a
-keyed hash of (seed, variant, unit, place, piece) falls below the dropout rate, and then
-comes again only with another neighbour.  A unit's variant is a keyed hash of (seed,
-doc_id, place in the text) modulo ``VARIANTS``: the segmentation of a text depends on
-nothing else, and each unit and variant is worked out once for each worker.
+piece, the one with the best score (ties: the leftmost) comes first; step k of the agenda
+skips it where a keyed hash of (seed, doc_id, the unit's place in the text, k) falls below
+the dropout rate, and then it comes again only with another neighbour.  Every occurrence of
+a unit has draws of its own.  What the agenda gives depends on the unit and on which steps
+skip alone, so a worker remembers results by (unit, steps skipped), within a fixed size, and
+works an agenda out only where it has not seen that combination.
 
 Blanks become U+2581 and a text begins with one more, as in the model; a U+2581 of the text
 itself and characters without a piece become byte pieces.  So decoding gives the very text.
 
-Defined results: a null or empty text is the end id alone; with rate 0 all variants agree
-and the ids are the model's own; repeated rows with equal doc_id get equal ids; an empty
-table gives an empty result.
+Defined results: a null or empty text is the end id alone; with rate 0 the ids are the
+model's own; repeated rows with equal doc_id get equal ids; a null doc_id counts as -1 in the
+draws; a unit of any length is worked on whole, in time proportional to its length times the
+logarithm of it; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import hashlib
 from collections.abc import Iterator
 
@@ -29,15 +32,33 @@ from pyspark.sql import DataFrame
 from .packing import UnitEncoder
 from .textcore import Texts, mix, sliced
 
-RATE, SEED, VARIANTS = 0.1, 17, 4
+RATE, SEED = 0.1, 17
 END_ID = 2
 _BLANK = "▁"
+#: Units of up to this many bytes have at most 60 steps: each of up to 20 pairs, and two more for each merge.
+SHORT = 20
+_FIRST = np.uint64(1 << 63)
+_STEP = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+
+
+def draw_keys(seed: int, doc_ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The key of each unit's draws."""
+    return mix(mix(doc_ids.view(np.uint64) + np.uint64(seed * _STEP & _MASK)) + place.astype(np.uint64))
+
+
+def _draw(key: int, step: int) -> int:
+    """16 bits for a step of a unit's agenda: four steps share a splitmix64 of the key and their number."""
+    x = key + (step >> 2) * _STEP & _MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return (x ^ x >> 31) >> 16 * (step & 3) & 0xFFFF
 
 
 class DropoutEncoder(UnitEncoder):
     """Encodes and decodes by one model, seed and rate."""
 
-    def __init__(self, model_file: str, rate: float, seed: int, variants: int):
+    def __init__(self, model_file: str, rate: float, seed: int):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -57,50 +78,107 @@ class DropoutEncoder(UnitEncoder):
         self.table = np.frombuffer(b"".join(table), dtype=np.uint8)
         self.size = np.array([len(x) for x in table])
         self.at = np.cumsum(self.size) - self.size
-        self.rate, self.seed, self.n = rate, seed, variants
-        self.salt = int.from_bytes(hashlib.blake2b(b"%d" % seed, digest_size=8).digest(), "little")
+        self.limit, self.seed = round(rate * 65536), seed
         self.doc_ids = np.zeros(0, dtype=np.int64)
         self._clear()
 
-    def variants(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
-        key = mix(self.doc_ids.view(np.uint64) + np.uint64(self.seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        which = mix(key[row] + place.astype(np.uint64)) % np.uint64(self.n)
-        return which * np.uint64(2) + (place == 0).astype(np.uint64)
+    def skips(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bit k: whether step k skips, for units of up to SHORT bytes; of a unit of n bytes 3 n steps at most count."""
+        out = np.zeros(len(key), dtype=np.uint64)
+        some = np.arange(len(key))
+        for four in range(15):
+            some = some[3 * size[some] > 4 * four]
+            if not len(some) or not self.limit:
+                break
+            word = mix(key[some] + np.uint64(four * _STEP & _MASK))
+            for k in range(4):
+                skip = (word >> np.uint64(16 * k) & np.uint64(0xFFFF)) < self.limit
+                out[some] |= skip.astype(np.uint64) << np.uint64(4 * four + k)
+        return out
 
-    def units(self, units: list[bytes], variants: list[int], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.agenda(u.decode(), k ^ self.salt, bool(v & 1)) for u, v, k in zip(units, variants, keys, strict=True)]
+    def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, first = ends - starts, np.where(place == 0, _FIRST, np.uint64(0))
+        key = draw_keys(self.seed, self.doc_ids[row], place)
+        short = size <= SHORT
+        skips = np.zeros(len(row), dtype=np.uint64)
+        skips[short] = self.skips(key[short], size[short])
+        # units of short length begin as if no step skipped; where one of the steps taken does, they are looked up again with it
+        variant = np.where(short, first, key >> np.uint64(1) | first)
+        at, n = np.empty(len(row), dtype=np.int64), np.empty(len(row), dtype=np.int64)
+        todo = np.arange(len(row))
+        known = np.zeros(len(row), dtype=np.uint64)  # steps decided so far
+        while len(todo):
+            at[todo], n[todo] = self._look_up(buf, starts[todo], ends[todo], variant[todo])
+            todo = todo[short[todo]]
+            taken = (np.uint64(1) << self.pool[at[todo]].astype(np.uint64)) - np.uint64(1)
+            left = skips[todo] & taken & ~known[todo]
+            todo, left = todo[left > 0], left[left > 0]
+            lowest = left & (~left + np.uint64(1))
+            variant[todo] |= lowest
+            known[todo] = lowest | lowest - np.uint64(1)
+        return at + 1, n - 1  # the pool has each unit's number of steps before its ids
+
+    def units(self, units: list[bytes], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for u, v in zip(units, variants, strict=True):
+            rest = v & int(_FIRST) - 1
+            if len(u) <= SHORT:
+                ids, steps = self.agenda(u.decode(), v != rest, lambda k, m=rest: m >> k & 1)
+            else:
+                ids, steps = self.agenda(u.decode(), v != rest, lambda k, m=rest << 1: _draw(m, k) < self.limit)
+            found.append([steps & 0xFFFFFFFF, *ids])
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(sizes.sum())), sizes
 
-    def agenda(self, unit: str, key: int, first: bool) -> list[int]:
-        """Ids of one unit; key: its keyed hash with the variant; first: it begins a text."""
-        part = [_BLANK] if first else []
-        part += unit.replace(_BLANK, _ITSELF).replace(" ", _BLANK)
-        get, rate = self.piece.get, self.rate
-        # score of the piece that each adjacent pair makes, or _NONE; with scores from 0 down it also names the piece
-        score = [get(a + b, _NO)[1] for a, b in zip(part, part[1:], strict=False)]
-        while score:
-            best = max(score)
-            if best == _NONE:
-                break
-            at = score.index(best)
-            if rate and _draw(key, len(part), at, int(best)) < rate:
-                score[at] = _NONE
+    def agenda(self, unit: str, first: bool, skip) -> tuple[list[int], int]:
+        """Ids of one unit and how many steps its agenda took; first: it begins a text; skip(k): whether step k skips."""
+        text = (_BLANK if first else "") + unit.replace(_BLANK, _ITSELF).replace(" ", _BLANK)
+        n, get = len(text), self.piece.get
+        # symbols are spans of text, linked; a span is named by where it begins
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = end[a]
+            if b < n:
+                hit = get(text[a : end[b]])
+                if hit is not None:
+                    heap.append((-hit[1], a, b, end[b]))
+
+        for a in range(n - 1):
+            offer(a)
+        heapq.heapify(heap)
+        push = heapq.heappush
+        step = 0
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if end[a] != b or end[b] != c:
+                continue  # one of the two has been merged since
+            k, step = step, step + 1
+            if skip(k):
                 continue
-            part[at : at + 2] = [part[at] + part[at + 1]]
-            del score[at]
-            if at < len(score):
-                score[at] = get(part[at] + part[at + 1], _NO)[1]
-            if at:
-                score[at - 1] = get(part[at - 1] + part[at], _NO)[1]
+            end[a], end[b] = c, 0
+            if c < n:
+                before[c] = a
+                hit = get(text[a : end[c]])
+                if hit is not None:
+                    push(heap, (-hit[1], a, c, end[c]))
+            p = before[a]
+            if p >= 0:
+                hit = get(text[p:c])
+                if hit is not None:
+                    push(heap, (-hit[1], p, a, c))
         out: list[int] = []
-        for p in part:
-            hit = self.piece.get(p)
+        a = 0
+        while a < n:
+            p = text[a : end[a]]
+            hit = get(p)
             if hit is not None:
                 out.append(hit[0])
             else:
-                out += [self.byte[c] for c in p.replace(_ITSELF, _BLANK).encode()]
-        return out
+                out += [self.byte[x] for x in p.replace(_ITSELF, _BLANK).encode()]
+            a = end[a]
+        return out, step
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The text of each row of ids."""
@@ -113,29 +191,18 @@ class DropoutEncoder(UnitEncoder):
 
 #: Stands for a U+2581 of the text itself, within agenda only: half a surrogate pair, which no text has.
 _ITSELF = "\ud800"
-_NONE = float("-inf")
-_NO = (-1, _NONE)
-_MASK = (1 << 64) - 1
-
-
-def _draw(key: int, left: int, at: int, score: int) -> float:
-    """Uniform in [0, 1) from a unit's key and a candidate merge (splitmix64's finaliser)."""
-    x = key + (left << 40) + (at << 20) - score & _MASK
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
-    return (x ^ x >> 31) / 2**64
 
 
 @functools.cache
-def encoder(model_file: str, rate: float, seed: int, variants: int) -> DropoutEncoder:
-    return DropoutEncoder(model_file, rate, seed, variants)
+def encoder(model_file: str, rate: float, seed: int) -> DropoutEncoder:
+    return DropoutEncoder(model_file, rate, seed)
 
 
-def encode(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id and the ids of its text, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_file, rate, seed, variants)
+        e = encoder(model_file, rate, seed)
         for b in sliced(batches):
             ids, at = _encode(e, b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
@@ -152,7 +219,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """doc_id and the text of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_file, 0.0, 0, 1)
+        e = encoder(model_file, 0.0, 0)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -164,11 +231,11 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def report(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def report(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id, n_bytes, n_ids, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 (of the text that the ids decode to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_file, rate, seed, variants)
+        e = encoder(model_file, rate, seed)
         for b in sliced(batches):
             texts = Texts(b.column("text"))
             ids, at = _encode(e, b)

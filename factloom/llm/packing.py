@@ -66,8 +66,8 @@ class UnitEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def units(self, units: list[bytes], variants: list[int], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Concatenated ids, and how many each unit has.  Units that begin with white space and end with a word are
+    def units(self, units: list[bytes], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Concatenated ids, and how many each unit has; units have one variant here.  Units that begin with white space and end with a word are
         encoded end to end, as no token crosses such a boundary, and told apart by the bytes of their tokens."""
         joint, alone = [], []
         for i, u in enumerate(units):
@@ -89,12 +89,14 @@ class UnitEncoder:
             ids[at[i] : at[i] + len(x)] = x
         return ids, sizes
 
-    def variants(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Which way each unit is encoded, from its row and its place there; here there is one way."""
-        return np.zeros(len(row), dtype=np.uint64)
+    def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and size in the pool of each unit's ids; row and place say where it stands, which doesn't matter here."""
+        return self._look_up(buf, starts, ends, np.zeros(len(row), dtype=np.uint64))
 
     def encode(self, texts: Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each followed by end_id, and the offset of each row."""
+        if self.used > self.POOL:
+            self._clear()
         words = Words(texts)
         n = texts.n
         last_end = np.where(words.count > 0, words.ends[np.maximum(words.first[1:] - 1, 0)] if len(words) else 0, texts.offsets[:-1])
@@ -106,7 +108,7 @@ class UnitEncoder:
         ends[unit_at[1:][trail] - 1] = texts.offsets[1:][trail]
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         row = np.repeat(np.arange(n), per_row)
-        from_, size = self._look_up(texts.buf, starts, ends, self.variants(row, np.arange(len(row)) - unit_at[row]))
+        from_, size = self.find(texts.buf, starts, ends, row, np.arange(len(row)) - unit_at[row])
         # each row's units, then the end id, which is the pool's first entry
         where = np.arange(unit_at[-1]) + row
         pool_at, pool_len = np.zeros(unit_at[-1] + n, dtype=np.int64), np.ones(unit_at[-1] + n, dtype=np.int64)
@@ -126,8 +128,6 @@ class UnitEncoder:
     def _look_up(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and size in the pool of each unit's ids.  A direct-mapped table of fixed size remembers units; what
         it doesn't hold is encoded and takes its slot."""
-        if self.used > self.POOL:
-            self._clear()
         h = mix(span_hashes(buf, starts, ends) + variant)
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         value = self.value[slot]
@@ -136,7 +136,7 @@ class UnitEncoder:
             _, example, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
             new = miss[example]
             raw = buf.tobytes()
-            ids, sizes = self.units([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], variant[new].tolist(), h[new].tolist())
+            ids, sizes = self.units([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], variant[new].tolist())
             if self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), 2 * len(ids)), dtype=np.uint32)])
             self.pool[self.used : self.used + len(ids)] = ids

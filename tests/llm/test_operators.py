@@ -396,6 +396,73 @@ def test_units_encode_as_whole_texts():
             assert ids.tolist() == e.slow.encode(s, add_special_tokens=False).ids + [2]
 
 
+def naive_dropout(sp, seed, rate, doc_id, text):
+    """Ids by the method's own words: one agenda for each unit, a draw for each step of it."""
+    full = (1 << 64) - 1
+
+    def mix64(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    golden = 0x9E3779B97F4A7C15
+    score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    of_byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+    out, places = [], []
+    for place, unit in enumerate(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", text or "")):
+        key = mix64(mix64((doc_id + seed * golden) & full) + place & full)
+        if len(unit.encode()) > 20:
+            key &= full - 1
+        part = (["\u2581"] if place == 0 else []) + ["\ud800" if c == "\u2581" else "\u2581" if c == " " else c for c in unit]
+        dead, step = set(), 0
+        part = [(c, k) for k, c in enumerate(part)]
+        while True:
+            found = [(-score[a[0] + b[0]], k) for k, (a, b) in enumerate(zip(part, part[1:])) if a[0] + b[0] in score and (a, b) not in dead]
+            if not found:
+                break
+            k = min(found)[1]
+            word = mix64(key + (step >> 2) * golden & full)
+            if word >> 16 * (step & 3) & 0xFFFF < round(rate * 65536):
+                dead.add((part[k], part[k + 1]))
+            else:
+                part[k : k + 2] = [(part[k][0] + part[k + 1][0], part[k][1])]
+            step += 1
+        for p, _ in part:
+            out += [sp.piece_to_id(p)] if p in score else [of_byte[x] for x in p.replace("\ud800", "\u2581").encode()]
+        places.append(step)
+    return [*out, 2], places
+
+
+def test_merge_dropout_against_the_plain_agenda(spark, docs, rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for rate, seed in ((0.1, 17), (0.5, 3)):
+        got = {(r["doc_id"], tuple(r["ids"])) for r in merge_dropout.encode(docs, PIECES, rate=rate, seed=seed).collect()}
+        want = {(i, tuple(naive_dropout(sp, seed, rate, i, t)[0])) for i, t in rows}
+        assert got == want
+    # one word many times: each occurrence has draws of its own
+    many = spark.createDataFrame([(1, "international " * 400)], "doc_id long, text string")
+    (ids,) = (r["ids"] for r in merge_dropout.encode(many, PIECES, rate=0.5).collect())
+    pieces = "".join(" " if "\u2581" in sp.id_to_piece(i)[:1] else "" for i in ids)
+    assert len(pieces) > 100
+    ways, now = set(), []
+    for i in ids[:-1]:
+        if sp.id_to_piece(i).startswith("\u2581") and now:
+            ways.add(tuple(now))
+            now = []
+        now.append(i)
+    assert len(ways) > 30
+
+
+def test_merge_dropout_of_a_megabyte_without_a_blank(spark):
+    r = random.Random(6)
+    text = "".join(r.choices("abcdeé", k=1 << 20))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (back,) = (x["text"] for x in merge_dropout.decode(merge_dropout.encode(docs, PIECES), PIECES).collect())
+    assert back == text
+
+
 def test_merge_dropout(docs, rows, nothing):
     import sentencepiece
 
