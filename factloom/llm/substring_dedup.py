@@ -1,20 +1,27 @@
 """Removal of repeated passages by level-wise doubling.
 
-A passage of ``window`` words is repeated only if its first half is.  Level 1 therefore
-looks at windows of half that length, and only those that some other document repeats are
-extended to twice their length at level 2.
-
-* Level 1 exchanges one selected half-window of each full window: the one with the least
-  hash of those inside (ties: the first).  Which one depends on the words of the full
-  window alone, so equal full windows select equal halves and no repeat is lost, while
-  about 2/27 of all positions travel.
-* Level 2 hashes the full windows around a repeated half (96 bits, with the bucket), keeps
-  one entry for each block of documents and hash, and finds the smallest document of each.
-  A third of all documents with one passage is one entry a block, not one a document.
+A passage of ``window`` words is repeated only if its parts are.  Levels therefore look at
+windows of doubling length, 13, 25 and 50 words for a ``window`` of 50, and only what some
+other document repeats at one length alone is extended to twice that length, until the last
+length or until no candidates survive.
+
+* Every level but the last looks at one part of each full window that is still a candidate:
+  the part of the level's length with the least hash inside the full window (ties: the
+  first).  Which one depends on the words of the full window alone, so equal full windows
+  select equal parts and no repeat is lost, while few positions travel (about 5 % of them at
+  the first level, far fewer after it).
+* Hashes that several documents have go on: to the next level as a filter of fixed size that
+  lets all of them through, to the last one exactly, by document.
+* The last level hashes the full windows around a repeated part (96 bits, with the bucket),
+  keeps one entry for each block of documents and hash, and finds the smallest document of
+  each.  A third of all documents with one passage is one entry a block, not one a document.
+  The number of blocks follows the candidates' bytes.
 
 Defined results: a null text has no words; texts with fewer than ``window`` words keep all;
 windows repeated only inside one document stay; rows with an equal doc_id count as one
-document in the comparison and are each returned; an empty table gives an empty result.
+document in the comparison and are each returned; a row without a doc_id is compared with
+nothing and keeps all; a text of any length is worked on whole; other columns are passed
+through whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,25 +34,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .idfilter import maybe_in
+from .idfilter import IdFilter, maybe_in
 from .storage import materialize, parts
 from .textcore import Texts, Words, pack, release, run_starts, sliced, unpack, valid_windows, window_hashes
 
 WINDOW = 50
+#: Words of the shortest level at least; bytes of candidates that are worked on together.
+SHORTEST, BLOCK_BYTES = 12, 4 << 20
 
 
-def selected_halves(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each full window inside one row: its start, and the position of its selected half-window."""
-    half = window // 2
+def lengths(window: int) -> list[int]:
+    """The levels' lengths: window and its halves, rounded up, down to SHORTEST words, shortest first."""
+    out = [window]
+    while out[0] // 2 >= SHORTEST:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def selected_parts(words: Words, inner: np.ndarray, window: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each full window inside one row: its start, and the position of its part with the least hash (inner, of all parts)."""
     ok = np.flatnonzero(valid_windows(words, window))
     if not len(ok):
         return ok, ok
-    inner = window_hashes(h, half)
-    # least (hash, position) among the window - half + 1 halves of each full window, by doubling
-    span = window - half + 1
+    # least (hash, position) among the window - part + 1 parts of each full window, by doubling
     best, width = np.arange(len(inner)), 1
     out, done = None, 0
-    todo = span
+    todo = window - part + 1
     while todo:
         if todo & 1:
             if out is None:
@@ -63,35 +77,54 @@ def selected_halves(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarra
     return ok, out[ok]
 
 
-def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, the digest of the whole text's words, and the hashes of its selected half-windows."""
+def _scan(docs: DataFrame, window: int, part: int) -> DataFrame:
+    """doc_id, n_words, the digest of the whole text's words, and the hashes of its selected parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             words = Words(Texts(b.column("text")))
-            h = words.hashes()
-            _, at = selected_halves(words, h, window)
-            at = np.unique(at)
-            value = window_hashes(h, window // 2)[at] if len(at) else np.zeros(0, np.uint64)
+            inner = window_hashes(words.hashes(), part)
+            at = np.unique(selected_parts(words, inner, window, part)[1])
             bounds = np.searchsorted(words.row[at] if len(at) else at, np.arange(words.texts.n + 1))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(words.count, pa.int64()),
                  pa.array([hashlib.sha256(words.joined(i)).hexdigest() for i in range(words.texts.n)], pa.string()),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))],
-                names=["doc_id", "text_hash", "n_words", "sha", "halves"],
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(inner[at].view(np.int64)))],
+                names=["doc_id", "text_hash", "n_words", "sha", "parts"],
             )
         release()
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_words long, sha string, halves array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_words long, sha string, parts array<long>")
+
+
+def _extended(docs: DataFrame, window: int, before: int, part: int, repeated: IdFilter) -> DataFrame:
+    """(doc_id, h): the hashes of selected parts of the full windows whose selected part of the length before is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            words = Words(Texts(b.column("text")))
+            h = words.hashes()
+            inner = window_hashes(h, before)
+            _, old = selected_parts(words, inner, window, before)
+            # each position is asked for once
+            asked = np.unique(old)
+            alive = np.zeros(len(inner), dtype=bool)
+            alive[asked[repeated.has(inner[asked])]] = True
+            longer = window_hashes(h, part)
+            at = np.unique(selected_parts(words, longer, window, part)[1][alive[old]])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(words.row[at])), pa.array(longer[at].view(np.int64))], names=["doc_id", "h"])
+        release()
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
 
 
-def _in_blocks(candidates: DataFrame, window: int, buckets: int) -> DataFrame:
+def _in_blocks(candidates: DataFrame, window: int, part: int, buckets: int) -> DataFrame:
     """Full windows around repeated halves: for each block and bucket, the sorted hashes and the least document of each."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in sliced(iter(group.combine_chunks().to_batches())):
-            _, _, start, h, g, row = _candidate_windows(b, window)
+            _, _, start, h, g, row = _candidate_windows(b, window, part)
             docs = b.column("doc_id").to_numpy(zero_copy_only=False)
             got.append((h[start], g[start], docs[row[start]]))
         h, g, d = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -118,12 +151,12 @@ def _first_of_each(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _candidate_windows(b: pa.RecordBatch, window: int):
-    """Words of a batch of candidates, and the starts of full windows whose selected half is repeated elsewhere."""
+def _candidate_windows(b: pa.RecordBatch, window: int, part: int):
+    """Words of a batch of candidates, and the starts of full windows whose selected part is repeated elsewhere."""
     words = Words(Texts(b.column("text")))
     h = words.hashes()
-    start, half_at = selected_halves(words, h, window)
-    inner = window_hashes(h, window // 2)
+    inner = window_hashes(h, part)
+    start, half_at = selected_parts(words, inner, window, part)
     repeated = b.column("repeated")
     values = repeated.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     owner = np.repeat(np.arange(b.num_rows), np.diff(repeated.offsets.to_numpy()))
@@ -172,7 +205,7 @@ def _smaller_elsewhere(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out_block, pa.int32()), "elsewhere": pa.array(out, pa.binary())})
 
 
-def _removed(window: int, with_text: bool):
+def _removed(window: int, part: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], candidates: pa.Table, answers: pa.Table) -> pa.Table:
         told = [unpack(x.as_py()) for x in answers.column("elsewhere")]
         th, tg = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
@@ -183,7 +216,7 @@ def _removed(window: int, with_text: bool):
         batches = list(sliced(iter(candidates.combine_chunks().to_batches())))
         found = []
         for b in batches:
-            words, _, start, h, g, row = _candidate_windows(b, window)
+            words, _, start, h, g, row = _candidate_windows(b, window, part)
             docs = b.column("doc_id").to_numpy(zero_copy_only=False)
             found.append((start, h[start] ^ (g[start].astype(np.uint64) << np.uint64(13)), docs[row[start]] if len(start) else docs[:0]))
         # within the block: the least document of each window
@@ -220,20 +253,35 @@ def _removed(window: int, with_text: bool):
     return run
 
 
+def _repeated(parts_of_docs: DataFrame) -> DataFrame:
+    """h: hashes that several documents have.  A table of its own, so a join with it shuffles both sides and a hot hash can be split."""
+    several = parts_of_docs.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    return materialize(several.select("h"), "repeated")
+
+
 def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(scan of all documents, the documents that lose words: doc_id, n_removed, kept_sha256, kept_text)."""
-    spark, n = docs.sparkSession, parts(docs.sparkSession)
-    scan = materialize(_scan(docs, window), "halves")
-    halves = scan.select("doc_id", F.explode("halves").alias("h"))
-    # as a table of its own, the join below shuffles both sides itself, and adaptive execution may split a hot half
-    repeated = materialize(halves.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "repeated")
-    marks = halves.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("repeated"))
-    marks = materialize(marks, "marks")
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int").alias("block")
-    candidates = materialize(maybe_in(docs.select("doc_id", "text"), marks.select("doc_id")).join(marks, "doc_id").select(block, "doc_id", "text", F.xxhash64("text").alias("text_hash"), "repeated"), "candidates")
-    answers = _in_blocks(candidates, window, n).groupBy("bucket").applyInArrow(_smaller_elsewhere, "block int, elsewhere binary")
-    out = candidates.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_removed(window, with_text), "doc_id long, text_hash long, n_removed long, kept_sha256 string, kept_text string")
-    return scan, out
+    spark = docs.sparkSession
+    levels = lengths(window)
+    levels = levels if len(levels) > 1 else [window, window]
+    part = levels[0]
+    scan = materialize(_scan(docs, window, part), "parts")
+    alive = scan.where("doc_id is not null").select("doc_id", F.explode("parts").alias("h"))
+    repeated = _repeated(alive)
+    for longer in levels[1:-1]:
+        if not repeated.take(1):
+            break  # no candidate survives
+        alive = materialize(_extended(docs, window, part, longer, IdFilter(repeated)), "parts")
+        repeated, part = _repeated(alive), longer
+    marks = materialize(alive.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("repeated")), "marks")
+    rows = maybe_in(docs.select("doc_id", "text"), marks.select("doc_id")).join(marks, "doc_id")
+    candidates = materialize(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "repeated"), "candidates")
+    size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(parts(spark), size // BLOCK_BYTES)
+    candidates = candidates.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    answers = _in_blocks(candidates, window, part, blocks).groupBy("bucket").applyInArrow(_smaller_elsewhere, "block int, elsewhere binary")
+    told = "doc_id long, text_hash long, n_removed long, kept_sha256 string, kept_text string"
+    return scan, candidates.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_removed(window, part, with_text), told)
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -244,8 +292,14 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with repeated passages cut out of their texts (kept words joined by one space); other texts stay as they are."""
-    _, out = removals(docs, window, with_text=True)
-    out = out.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept"))
-    both = docs.join(out, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    return both.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    """docs with repeated passages cut out of their texts (kept words joined by one space); other texts stay as they are.
+
+    Only documents that may lose words are shuffled.
+    """
+    out = materialize(removals(docs, window, with_text=True)[1].select("doc_id", "text_hash", "kept_text"), "kept")
+    maybe = IdFilter(out.select("doc_id"))
+    rows = maybe.keep(docs).select(F.struct("*").alias("_row"))
+    keys = out.select(F.col("doc_id").alias("_kept_doc"), F.col("text_hash").alias("_kept_hash"), F.col("kept_text").alias("_kept_text"))
+    rows = rows.join(keys, (F.col("_row.doc_id") == F.col("_kept_doc")) & (F.xxhash64("_row.text") == F.col("_kept_hash")), "left")
+    text = F.coalesce("_kept_text", "_row.text").alias("text")
+    return rows.select(*[text if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]).union(maybe.drop(docs))

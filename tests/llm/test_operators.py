@@ -73,27 +73,49 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
-def test_substring_dedup(docs, rows, nothing):
+def naive_passages(rows, window):
+    """(doc_id, words, words removed, digest of those kept) by looking at every window."""
     first = {}
-    for i, t in sorted(rows, key=lambda x: x[0]):
+    for i, t in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
         w = words(t)
-        for p in range(len(w) - 49):
-            first.setdefault(tuple(w[p : p + 50]), i)
+        for p in range(len(w) - window + 1):
+            first.setdefault(tuple(w[p : p + window]), i)
     want = []
     for i, t in rows:
         w = words(t)
         gone = [False] * len(w)
-        for p in range(len(w) - 49):
-            if first[tuple(w[p : p + 50])] < i:
-                gone[p : p + 50] = [True] * 50
+        for p in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[p : p + window])] < i:
+                gone[p : p + window] = [True] * window
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = substring_dedup.report(docs)
+    return want
+
+
+@pytest.mark.parametrize("window", [50, 7, 27])
+def test_substring_dedup(docs, rows, nothing, window):
+    want = naive_passages(rows, window)
+    got = substring_dedup.report(docs, window)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert sum(x[2] for x in want) > 500
+    assert substring_dedup.report(nothing, window).count() == 0
+
+
+def test_substring_dedup_levels():
+    assert substring_dedup.lengths(50) == [13, 25, 50] and substring_dedup.lengths(7) == [7] and substring_dedup.lengths(100) == [13, 25, 50, 100]
+
+
+def test_substring_dedup_edge_cases(spark, docs, rows, nothing):
+    """Rows without an id, equal rows, two texts of one id, columns with the operator's own names; strip agrees with report."""
+    a, b = " ".join(f"w{k}" for k in range(70)), " ".join(f"v{k}" for k in range(70))
+    given = [(None, a, 1, 1), (None, None, 1, 1), (7, a, 2, 2), (7, a, 2, 2), (5, a, 3, 3), (5, b, 4, 4), (8, "x " + b, 5, 5), (9, "", 6, 6)]
+    table = spark.createDataFrame(given, "doc_id long, text string, _row int, _kept_text int")
+    assert sorted(map(str, map(tuple, substring_dedup.report(table).collect()))) == sorted(map(str, naive_passages([x[:2] for x in given], 50)))
+    want = [(i, {7: "", 8: "x"}.get(i, t), *more) for i, t, *more in given]
+    assert sorted(map(str, map(tuple, substring_dedup.strip(table).collect()))) == sorted(map(str, want))
     stripped = substring_dedup.strip(docs)
     assert stripped.columns == docs.columns and stripped.count() == len(rows)
-    assert substring_dedup.report(nothing).count() == 0
+    assert substring_dedup.strip(nothing).count() == 0
 
 
 def test_near_dup(docs, rows, nothing):
