@@ -1,10 +1,13 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark.
 
-Words are 48-bit hashes; a context is the hash of the words before.  Counting is one
+Words are 63-bit hashes; a context is the hash of the words before.  Counting is one
 exchange for each order, of packed arrays: each task sorts and sums its own n-grams, and a
 bucket is all n-grams of some contexts, so totals of a context need no further exchange.
-The lower orders count distinct left neighbours (continuation counts), which buckets of
-the order above give as partial sums.
+Heavy contexts (at least a share ``HEAVY`` of all tokens follow them, so they are at most
+1 / HEAVY for each order, counted beforehand) are dealt by context and word instead, and
+their totals, a row for each bucket, are summed in a second exchange.  The number of buckets
+follows the text's bytes.  The lower orders count distinct left neighbours (continuation
+counts), which buckets of the order above give as partial sums.
 
 The model is a folder of sorted hash arrays, one file for each order and bucket, in the
 shared folder.  Scoring tasks memory-map them and look up sorted queries, so a model may
@@ -13,13 +16,14 @@ numbers, the only thing that reaches the driver).
 
 Defined results: a null or empty text is the end token alone; words unknown in training
 share the unigram's uniform part; with an empty training set all scores are those of a
-uniform distribution over the one unknown word (0); repeated rows count and are scored each.
+uniform distribution over the one unknown word (0); repeated rows count and are scored each, rows
+without a doc_id too; a text of any length is worked on whole; other columns are not looked
+at.
 """
 
 from __future__ import annotations
 
 import functools
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,19 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize, new_path, parts
-from .textcore import Texts, Words, joined_hash, mix, pack, run_starts, sliced, unpack
+from .textcore import Texts, Words, joined_hash, mix, pack, release, run_starts, sliced, unpack
 
 ORDER = 2
+#: Share of the tokens from which a context is heavy; text bytes for each bucket.
+HEAVY, BUCKET_BYTES = 0.001, 8 << 20
 _U = np.uint64
-_WORD = _U((1 << 48) - 1)
 END, BEGIN = _U(1), _U(2)
 LOG10 = float(np.log(10))
 
 
 def token_ids(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit ids of all tokens, each row's words and then the end token, and the offset of each row."""
+    """Ids of all tokens, each row's words and then the end token, and the offset of each row."""
     words = Words(texts)
-    ids = (words.hashes(lower=True) & _WORD) | _U(4)
+    ids = words.hashes(lower=True) | _U(4)
     at = words.first + np.arange(texts.n + 1)
     out = np.full(len(ids) + texts.n, END, dtype=_U)
     out[np.arange(len(ids)) + words.row] = ids
@@ -85,44 +90,42 @@ def _small(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.uint32 if counts.max() < 1 << 32 else np.uint64)
 
 
-def _split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x & _U(0xFFFFFFFF)).astype(np.uint32), (x >> _U(32)).astype(np.uint16)
+def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return h & _U(0xFFFFFFFF), h >> _U(32)
 
 
-def _join48(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def _whole(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return lo.astype(_U) | hi.astype(_U) << _U(32)
 
 
-def _emit(cols: list[np.ndarray], extra: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
+def _dealt_by(ctx: np.ndarray, word: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """What decides an n-gram's bucket: its context, or where that is heavy, context and word."""
+    return np.where(_find(heavy, ctx)[1], joined_hash(ctx, word), ctx)
+
+
+def _emit(cols: list[np.ndarray], extra: list[np.ndarray], buckets: int, heavy: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed run of it) of rows sorted by their first column, which is a context or, for unigrams, a mixed word."""
-    at = np.searchsorted(_bucket(cols[0], buckets), np.arange(buckets + 1))
-    for k in range(buckets):
-        if at[k] < at[k + 1]:
-            s = slice(at[k], at[k + 1])
-            ctx = cols[0][s]
-            first = run_starts(ctx)
-            run = np.diff(np.concatenate([first, [len(ctx)]]))
-            planes = [p for c in cols[1:] for p in _split48(c[s])]
-            yield k, pack(ctx[first], _small(run), *planes, *(_small(e[s]) for e in extra))
+    bucket = _bucket(_dealt_by(cols[0], cols[-1], heavy), buckets)
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        s = order[at[k] : at[k + 1]]
+        ctx = cols[0][s]
+        first = run_starts(ctx)
+        run = np.diff(np.concatenate([first, [len(ctx)]]))
+        planes = [p.astype(np.uint32) for c in cols[1:] for p in _halves(c[s])]
+        yield k, pack(ctx[first], _small(run), *planes, *(_small(e[s]) for e in extra))
 
 
 def _absorb(blobs: list[bytes], words: int, extras: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     got: list[list[np.ndarray]] = []
     for blob in blobs:
         a = unpack(blob)
-        got.append([np.repeat(a[0], a[1].astype(np.int64)), *(_join48(a[2 + 2 * k], a[3 + 2 * k]) for k in range(words)), *(x.astype(_U) for x in a[2 + 2 * words :])])
+        got.append([np.repeat(a[0], a[1].astype(np.int64)), *(_whole(a[2 + 2 * k], a[3 + 2 * k]) for k in range(words)), *(x.astype(_U) for x in a[2 + 2 * words :])])
     cols = [np.concatenate(x) for x in zip(*got, strict=True)]
     return cols[: 1 + words], cols[1 + words :]
 
 
-def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return h & _U(0xFFFFFFFF), h >> _U(32)
-
-
-def _whole(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return lo | hi << _U(32)
-
-
 def open_shared(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
@@ -142,25 +145,42 @@ def write_shard(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
     return name + "|" + ";".join(head)
 
 
-@functools.lru_cache(maxsize=4096)
+#: Shards a worker keeps mapped, and bytes of copies of those that are not on a mounted file system.
+MAPPED, COPIED_BYTES = 4096, 1 << 30
+_copies: dict[str, tuple[int, dict[str, np.ndarray]]] = {}
+
+
 def map_shard(folder: str, entry: str) -> dict[str, np.ndarray]:
-    """The arrays of a shard, memory-mapped.  Where the shared folder is no mounted file system, the file is first
-    copied beside the worker; it is a cache that a later worker makes again."""
-    name, _, head = entry.partition("|")
+    """The arrays of a shard, memory-mapped.
+
+    Where the shared folder is no mounted file system, the file is copied beside the worker, mapped and at once unlinked, so
+    that nothing stays behind; of such copies the latest are kept, up to COPIED_BYTES.
+    """
     store, base = open_shared(folder)
-    path = f"{base}/{name}"
-    if not isinstance(store, pafs.LocalFileSystem):
+    if isinstance(store, pafs.LocalFileSystem):
+        return _mapped(base, entry)
+    if entry not in _copies:
         import tempfile
 
-        local = os.path.join(tempfile.gettempdir(), name)
-        if not os.path.exists(local):
-            with store.open_input_stream(path) as f, open(local + ".part", "wb") as g:
+        with tempfile.NamedTemporaryFile() as g:
+            with store.open_input_stream(f"{base}/{entry.partition('|')[0]}") as f:
                 while block := f.read(8 << 20):
                     g.write(block)
-            os.replace(local + ".part", local)
-        path = local
+            g.flush()
+            _copies[entry] = g.tell(), _arrays(g.name, entry)
+        while len(_copies) > 1 and sum(n for n, _ in _copies.values()) > COPIED_BYTES:
+            del _copies[next(iter(_copies))]
+    return _copies[entry][1]
+
+
+@functools.lru_cache(maxsize=MAPPED)
+def _mapped(base: str, entry: str) -> dict[str, np.ndarray]:
+    return _arrays(f"{base}/{entry.partition('|')[0]}", entry)
+
+
+def _arrays(path: str, entry: str) -> dict[str, np.ndarray]:
     out = {}
-    for part in head.split(";"):
+    for part in entry.partition("|")[2].split(";"):
         key, kind, n, at = part.split(",")
         out[key] = np.memmap(path, dtype=np.dtype(kind), mode="r", offset=int(at), shape=(int(n),)) if int(n) else np.zeros(0, np.dtype(kind))
     return out
@@ -171,7 +191,8 @@ class Model:
     """A trained model: order, buckets, the folder of its shards, and what the driver knows of each order.
 
     files[k][b] is the shard of order k and bucket b; discounts[k] the three discounts of order k; total the
-    continuation count of the unigram; tokens and vocabulary those of the training tokens.
+    continuation count of the unigram; tokens and vocabulary those of the training tokens; heavy[k] the heavy contexts
+    of order k, sorted, with their totals.
     """
 
     folder: str
@@ -183,6 +204,7 @@ class Model:
     gamma: float
     tokens: int
     vocabulary: int
+    heavy: dict[int, dict[str, np.ndarray]]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -194,17 +216,54 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k) for k, x in zip((1, 2, 3), d, strict=True))
 
 
+def heavy_contexts(docs: DataFrame, order: int, share: float = HEAVY) -> tuple[dict[int, np.ndarray], int]:
+    """Contexts that at least a share of all tokens follow, at most 1 / share of each length, by order; and the text's bytes.
+
+    Which contexts are found only decides how n-grams are dealt out, never a count: a task holds at most 8 / share of each
+    length at a time, and sends those with at least half the share of its own tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {k: (np.zeros(0, _U), np.zeros(0, _U)) for k in range(2, order + 1)}
+        tokens = size = 0
+        for b in sliced(batches):
+            texts = Texts(b.column("text"))
+            ids, at = token_ids(texts)
+            tokens, size = tokens + len(ids), size + len(texts.buf)
+            for k in seen:
+                ctx, n = np.unique(contexts(ids, at, k - 1), return_counts=True)
+                (held,), count = _sum_equal([np.concatenate([seen[k][0], ctx])], np.concatenate([seen[k][1], n.astype(_U)]))
+                seen[k] = held, count
+            for k, (ctx, n) in seen.items():
+                if len(ctx) > 8 / share:
+                    keep = n >= _U(max(1, int(tokens * share / 8)))
+                    seen[k] = ctx[keep], n[keep]
+        rows = [(k, int(c), int(n)) for k, (ctx, count) in seen.items() for c, n in zip(ctx.view(np.int64), count, strict=True) if n >= tokens * share / 2]
+        rows.append((0, size, tokens))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["k", "ctx", "n"])
+
+    told = docs.select("text").mapInArrow(run, "k int, ctx long, n long")
+    told = told.groupBy("k", F.when(F.col("k") > 0, F.col("ctx")).alias("ctx")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") == 0, F.col("ctx"))).alias("size"))
+    told = materialize(told, "heavy")
+    all_ = told.where("k = 0").first()
+    if all_ is None:
+        return {k: np.zeros(0, _U) for k in range(2, order + 1)}, 0
+    rows = told.where((F.col("k") > 0) & (F.col("n") >= all_["n"] * share * 0.75)).collect()  # at most 4 / (3 share) for each k
+    return {k: np.sort(np.array([r["ctx"] for r in rows if r["k"] == k], dtype=np.int64).view(_U)) for k in range(2, order + 1)}, all_["size"] or 0
+
+
 def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Counts all of docs."""
     spark = docs.sparkSession
-    buckets, folder = parts(spark), new_path(spark, "lm")
+    heavy, size = heavy_contexts(docs, order)
+    buckets, folder = max(parts(spark), size // BUCKET_BYTES), new_path(spark, "lm")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[np.ndarray], np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             cols, n = _sum_equal([np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]))
-            rows = list(_emit(cols, [n], buckets))
+            rows = list(_emit(cols, [n], buckets, heavy[order] if order > 1 else _NONE))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["bucket", "entries"])
 
@@ -219,13 +278,21 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
                     yield flush()
         if held:
             yield flush()
+        release()
 
     raw = docs.select("text").mapInArrow(count, "bucket int, entries binary")
     files: dict[int, dict[int, str]] = {}
     seen: dict[int, list[int]] = {}
     totals: dict[str, int] = {}
+    heavy_totals: dict[int, dict[str, np.ndarray]] = {}
     for k in range(order, 0, -1):
-        reduced = materialize(raw.groupBy("bucket").applyInArrow(_reduce(k, order, buckets, folder), "kind string, bucket int, entries binary, file string, stats array<long>"), f"lm{k}")
+        step = _reduce(k, order, buckets, folder, heavy.get(k, _NONE), heavy.get(k - 1, _NONE))
+        reduced = materialize(raw.groupBy("bucket").applyInArrow(step, "kind string, bucket int, entries binary, file string, stats array<long>"), f"lm{k}")
+        s = F.col("stats")
+        parts_ = reduced.where("kind = 'heavy'").groupBy(s[0].alias("ctx")).agg(*[F.sum(s[i + 1]).alias(f) for i, f in enumerate(_TOTALS)]).collect()  # the heavy contexts
+        known = {r["ctx"]: r for r in parts_}
+        mine = [c for c in heavy.get(k, _NONE).view(np.int64).tolist() if c in known]
+        heavy_totals[k] = {"context": np.array(mine, dtype=np.int64).view(_U), **{f: np.array([known[c][f] for c in mine], dtype=np.float64) for f in _TOTALS}}
         files[k], seen[k] = {}, [0] * 4
         for r in reduced.where("kind = 'file'").select("bucket", "file", "stats").collect():  # one row for each bucket
             files[k][r["bucket"]] = r["file"]
@@ -236,10 +303,15 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     d = {k: discounts(n) for k, n in seen.items()}
     total = totals.get("total", 0)
     gamma = sum(x * totals.get(n, 0) for x, n in zip(d[1], ("n1", "n2", "n3"), strict=True)) / total if total else 1.0
-    return Model(folder, order, buckets, files, d, total, gamma, totals.get("tokens", 0), totals.get("types", 0))
+    return Model(folder, order, buckets, files, d, total, gamma, totals.get("tokens", 0), totals.get("types", 0), heavy_totals)
+
+
+_NONE = np.zeros(0, dtype=_U)
+#: Of a context: its tokens (continuation counts below the top), and how many words follow it once, twice, more often.
+_TOTALS = ("sum", "n1", "n2", "n3")
 
 
-def _reduce(k: int, order: int, buckets: int, folder: str):
+def _reduce(k: int, order: int, buckets: int, folder: str, heavy: np.ndarray, heavy_below: np.ndarray):
     """Of one bucket of order k: its file, and its partial counts for order k - 1.
 
     Entries have the context, for order k > 2 the shorter contexts (in halves), and the word; the unigram's context
@@ -260,6 +332,7 @@ def _reduce(k: int, order: int, buckets: int, folder: str):
         ctx, word = cols[0], cols[-1]
         stats = [int((n == j).sum()) for j in (1, 2, 3, 4)]
         rows: list[tuple] = []
+        shared: list[list[int]] = []
         if k == 1:
             arrays = {"key": word, "count": n.astype(np.uint32), "tokens": tokens.astype(np.uint64)}
             order_ = np.argsort(word)
@@ -270,20 +343,23 @@ def _reduce(k: int, order: int, buckets: int, folder: str):
             o = np.argsort(h)
             big = n[o] >= 255
             first = run_starts(ctx)
+            by_context = {"context": ctx[first], "sum": np.add.reduceat(n, first)} | {f"n{j}": np.add.reduceat((n == j if j < 3 else n >= 3).astype(np.uint32), first) for j in (1, 2, 3)}
+            parted = _find(heavy, by_context["context"])[1]
+            shared = [[int(by_context["context"][i].view(np.int64)), *(int(by_context[f][i]) for f in _TOTALS)] for i in np.flatnonzero(parted)]
             arrays = {
-                "key": h[o], "count": np.minimum(n[o], 255).astype(np.uint8), "big": h[o][big], "big_count": n[o][big], "context": ctx[first], "sum": np.add.reduceat(n, first),
-                **{f"n{j}": np.add.reduceat((n == j if j < 3 else n >= 3).astype(np.uint32), first) for j in (1, 2, 3)},
+                "key": h[o], "count": np.minimum(n[o], 255).astype(np.uint8), "big": h[o][big], "big_count": n[o][big], **{f: v[~parted] for f, v in by_context.items()},
             }
             stats += [0] * 6
             # distinct left neighbours of (shorter context, word), and the tokens behind them
             lower = [mix(word), word] if k == 2 else [_whole(*cols[1:3]), *cols[3:]]
             both, left = _sum_equal(lower, np.ones(len(word), dtype=_U))
             _, behind = _sum_equal(lower, tokens)
-            rows = list(_emit(both, [left, behind], buckets))
+            rows = list(_emit(both, [left, behind], buckets, heavy_below))
         entry = write_shard(folder, f"{k}-{bucket}", arrays)
+        more, told = [None] * len(rows), [None] * len(shared)
         return pa.table({
-            "kind": pa.array(["file"] + ["lower"] * len(rows)), "bucket": pa.array([bucket] + [b for b, _ in rows], pa.int32()), "entries": pa.array([None] + [e for _, e in rows], pa.binary()),
-            "file": pa.array([entry] + [None] * len(rows), pa.string()), "stats": pa.array([stats] + [None] * len(rows), pa.list_(pa.int64())),
+            "kind": pa.array(["file"] + ["lower"] * len(rows) + ["heavy"] * len(shared)), "bucket": pa.array([bucket] + [b for b, _ in rows] + told, pa.int32()),
+            "entries": pa.array([None] + [e for _, e in rows] + told, pa.binary()), "file": pa.array([entry] + more + told, pa.string()), "stats": pa.array([stats] + more + shared, pa.list_(pa.int64())),
         })
 
     return run
@@ -332,10 +408,13 @@ def log_probabilities(model: Model, ids: np.ndarray, at: np.ndarray) -> tuple[np
     for k in range(2, model.order + 1):
         ctx = contexts(ids, at, k - 1)
         uctx, back = np.unique(ctx, return_inverse=True)
-        c = _lookup(model, k, uctx, uctx, {f: ("context", f) for f in ("sum", "n1", "n2", "n3")})
+        c = _lookup(model, k, uctx, uctx, {f: ("context", f) for f in _TOTALS})
+        place, is_heavy = _find(model.heavy[k]["context"], uctx)
+        for f in _TOTALS:
+            c[f][is_heavy] = model.heavy[k][f][place[is_heavy]]
         h = joined_hash(ctx, ids)
         _, first, hback = np.unique(h, return_index=True, return_inverse=True)
-        g = _lookup(model, k, ctx[first], h[first], {"count": ("key", "count"), "big": ("big", "big_count")})
+        g = _lookup(model, k, _dealt_by(ctx[first], ids[first], model.heavy[k]["context"]), h[first], {"count": ("key", "count"), "big": ("big", "big_count")})
         count = np.maximum(g["count"], g["big"])[hback]
         total = c["sum"][back]
         d = model.discounts[k]

@@ -535,6 +535,69 @@ def test_kneser_ney_against_counts(docs, rows, nothing):
     assert kneser_ney.score(kneser_ney.train(empty), empty).count() == 0
 
 
+def naive_kneser_ney(train, texts, order):
+    """(score, base score) of each text by counting n-grams in dictionaries."""
+    from collections import Counter, defaultdict
+    from math import log10
+
+    tokens = lambda t: [*words((t or "").translate(LOW)), "</s>"]
+    padded = lambda t: ["<s>"] * (order - 1) + tokens(t)
+    plain = Counter(w for t in train for w in tokens(t))
+    counts = {order: Counter(tuple(p[i - order + 1 : i + 1]) for t in train for p in [padded(t)] for i in range(order - 1, len(p)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, after = {}, {}
+    for k, c in counts.items():
+        n = [sum(x == j for x in c.values()) for j in (1, 2, 3, 4)]
+        if min(n[:3]) == 0:
+            cut[k] = [0.5, 1.0, 1.5]
+        else:
+            y = n[0] / (n[0] + 2 * n[1])
+            cut[k] = [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j) for j in (1, 2, 3)]
+        after[k] = defaultdict(list)
+        for g, x in c.items():
+            after[k][g[:-1]].append(x)
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(plain) + 1)
+        follow = after[k].get(g[:-1])
+        if not follow:
+            return p(g[1:])
+        c = counts[k].get(g, 0)
+        spare = sum(cut[k][min(x, 3) - 1] for x in follow)
+        return (max(c - (cut[k][min(c, 3) - 1] if c else 0), 0) + spare * p(g[1:])) / sum(follow)
+
+    n, v = sum(plain.values()), len(plain)
+    out = []
+    for t in texts:
+        x = padded(t)
+        out.append((sum(log10(p(tuple(x[i - order + 1 : i + 1]))) for i in range(order - 1, len(x))), sum(log10((plain[w] + 1) / (n + v + 1)) for w in tokens(t))))
+    return out
+
+
+@pytest.mark.parametrize(("order", "heavy"), [(2, 0.001), (3, 0.001), (2, 0.00001), (3, 0.02)])
+def test_kneser_ney_scores_against_dictionaries(docs, rows, order, heavy, monkeypatch):
+    """Both score columns, whether contexts are heavy or not."""
+    original = kneser_ney.heavy_contexts
+    monkeypatch.setattr(kneser_ney, "heavy_contexts", lambda d, o: original(d, o, heavy))
+    held = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    model = kneser_ney.train(held.where("not held_out"), order)
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in kneser_ney.score(model, held).collect()}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = dict(zip([i for i, _ in rows], naive_kneser_ney(train, [t for _, t in rows], order), strict=True))
+    assert sum(len(model.heavy[k]["context"]) for k in range(2, order + 1)) > 0
+    for i, x in want.items():
+        assert got[i] == pytest.approx(x, rel=1e-9)
+
+
+def test_kneser_ney_perplexity_and_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a b", False), (1, "a b", False)], "doc_id long, text string, held_out boolean")
+    got = kneser_ney.perplexity(kneser_ney.score(kneser_ney.train(docs), docs)).collect()
+    assert len(got) == 2 and all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / 3)) for r in got)
+
+
 def test_media(docs, rows, nothing):
     got = media.report(docs).collect()
     assert len(got) == len(rows)
