@@ -68,17 +68,31 @@ def express_routes(lines: DataFrame) -> DataFrame:
 
 
 def http_callers(lines: DataFrame) -> DataFrame:
-    """fetch and axios calls with a literal url: GET unless declared (then surer)."""
+    """fetch and axios calls with a literal url: GET unless declared (then surer); an instance made by axios.create prefixes its base."""
     quoted = r"""\s*['"`]([^'"`$]+)['"`]"""
-    axios = F.regexp_extract("line", rf"\baxios\.(get|post|put|delete|patch)\({quoted}", 1)
-    axios_url = F.regexp_extract("line", rf"\baxios\.(get|post|put|delete|patch)\({quoted}", 2)
+    made = F.regexp_extract("line", r"\b(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*axios\.create\(", 1)
+    base = F.regexp_extract("line", rf"baseURL\s*:{quoted}", 1)
+    instances = lines.where(made != "").groupBy("path", made.alias("symbol")).agg(F.min_by(base, "line_no").alias("base"))
+    call = rf"\b([A-Za-z_]\w*)\.(get|post|put|delete|patch)\({quoted}"
     fetched = F.regexp_extract("line", rf"\bfetch\({quoted}", 1)
     declared = F.upper(F.regexp_extract("line", r"method\s*:\s*['\"]([A-Za-z]+)['\"]", 1))
     rows = lines.select(
-        "path", "line_no", F.when(axios != "", "axios").when(fetched != "", "fetch").alias("client"), F.when(axios != "", F.upper(axios)).when(declared != "", declared).otherwise("GET").alias("method"),
-        F.when(axios != "", axios_url).otherwise(fetched).alias("raw"), ((axios == "") & (declared == "")).alias("inferred"),
+        "path", "line_no", F.regexp_extract("line", call, 1).alias("symbol"), F.upper(F.regexp_extract("line", call, 2)).alias("verb"), F.regexp_extract("line", call, 3).alias("url"), fetched.alias("fetched"), declared.alias("declared")
     )
-    return rows.where("client is not null").withColumn("confidence", F.when(F.col("client") == "axios", 0.88).when(F.col("inferred"), 0.8).otherwise(0.86))
+    rows = rows.where("symbol <> '' or fetched <> ''").join(instances, ["path", "symbol"], "left")
+    axios = (F.col("symbol") == "axios") | F.col("base").isNotNull()
+    rows = rows.where(axios | (F.col("fetched") != ""))
+    out = rows.select(
+        "path", "line_no", F.when(axios, "axios").otherwise("fetch").alias("client"), F.when(axios, F.col("verb")).when(F.col("declared") != "", F.col("declared")).otherwise("GET").alias("method"),
+        F.when(axios, F.concat(F.coalesce("base", F.lit("")), "url")).otherwise(F.col("fetched")).alias("raw"), (~axios & (F.col("declared") == "")).alias("inferred"),
+    )
+    return out.withColumn("confidence", F.when(F.col("client") == "axios", 0.88).when(F.col("inferred"), 0.8).otherwise(0.86))
+
+
+def unsupported_callers(lines: DataFrame) -> DataFrame:
+    """fetch and axios calls whose url is computed."""
+    client = F.when(F.col("line").rlike(r"\bfetch\(\s*[^'\"`\s)]"), "fetch").when(F.col("line").rlike(r"\baxios\.(get|post|put|delete|patch)\(\s*[^'\"`\s)]"), "axios")
+    return lines.select("path", "line_no", client.alias("client"), F.lit("computed_url").alias("reason")).where("client is not null")
 
 
 # Redis operations by what they do.
@@ -90,7 +104,8 @@ def cache_operations(lines: DataFrame) -> DataFrame:
     call = r"\b([A-Za-z_][A-Za-z0-9_.]*)\.(get|mget|hget|set|setex|hset|setnx|del|hdel|unlink|expire)\("
     rows = lines.select("path", "line_no", F.regexp_extract("line", call, 1).alias("symbol"), F.regexp_extract("line", call, 2).alias("op"))
     rows = rows.where(F.lower("symbol").rlike("redis|cache|client"))
-    return rows.withColumn("kind", F.when(F.col("op").isin(REDIS_READS), "cache.read").when(F.col("op").isin(REDIS_DROPS), "cache.invalidate").otherwise("cache.write"))
+    uses = lines.groupBy("path").agg(F.bool_or(F.col("line").rlike(r"\bfrom\s+['\"]ioredis['\"]|require\(['\"]ioredis['\"]\)")).alias("ioredis"))
+    return rows.join(uses, "path").withColumn("kind", F.when(F.col("op").isin(REDIS_READS), "cache.read").when(F.col("op").isin(REDIS_DROPS), "cache.invalidate").otherwise("cache.write"))
 
 
 def queue_operations(lines: DataFrame) -> DataFrame:
@@ -142,6 +157,16 @@ def requirements(lines: DataFrame) -> DataFrame:
     return lines.where(name != "").select("path", "line_no", name.alias("dependency"), F.lit("Config").alias("concept"))
 
 
+def go_mod(lines: DataFrame) -> DataFrame:
+    """Required modules of go.mod files, of single lines and of blocks."""
+    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.when(F.col("line").rlike(r"^\s*require\s*\("), True).when(F.col("line").rlike(r"^\s*(\)|\w+\s*\()"), False)
+    rows = lines.withColumn("inside", F.last(edge, ignorenulls=True).over(order))
+    of = F.when(F.col("line").rlike(r"^\s*require\s+[^(\s]"), F.regexp_replace("line", r"^\s*require\s+", "")).when(F.coalesce("inside", F.lit(False)), F.col("line"))
+    rows = rows.select("path", "line_no", F.regexp_extract(of, r"^\s*([^\s/(][^\s(]*)\s+(v\S+)", 1).alias("dependency"), F.regexp_extract(of, r"^\s*([^\s/(][^\s(]*)\s+(v\S+)", 2).alias("version"))
+    return rows.where("dependency <> ''").withColumn("concept", F.lit("Config"))
+
+
 def package_json(files: DataFrame) -> DataFrame:
     """Dependencies and scripts of package.json files."""
     kind = "map<string,string>"

@@ -47,7 +47,10 @@ def content_id(files: DataFrame, root: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A text rule: words by strength, markers it needs, markers that block it, weights, and its base confidence."""
+    """A text rule: words by strength, markers it needs, markers that block it, weights, and its base confidence.
+
+    A marker is needed among the strong and medium words that occur; one blocks where it is among the negative ones.
+    """
 
     rule_id: str
     strong: list[str]
@@ -55,40 +58,63 @@ class Rule:
     negative: list[str] = field(default_factory=list)
     required: list[str] = field(default_factory=list)
     blocking: list[str] = field(default_factory=list)
-    weight_strong: float = 0.35
-    weight_medium: float = 0.2
-    penalty: float = 0.4
-    base: float = 0.35
+    weight_strong: float = 0.5
+    weight_medium: float = 0.35
+    penalty: float = 0.3
+    base: float = 0.3
+
+
+#: What no word goes on with, and a word's own bounds.
+_WORD = r"[\p{L}\p{N}_]"
+
 
+def bounded(word: str) -> str:
+    """A pattern for a whole word or phrase."""
+    return rf"(?<!{_WORD}){re.escape(word)}(?!{_WORD})"
 
-def word_count(text: Column, word: str) -> Column:
-    """Occurrences of a whole word in lower-cased text (a word ends before another character; one at the very end isn't counted)."""
-    return F.regexp_count(text, F.lit(f"(^|[^a-z0-9_]){re.escape(word)}[^a-z0-9_]"))
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, where they come in fewer: for work that costs far more than a shuffle of its rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def score_rules(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """path, rule_id, score, confidence.  All counts of a file are made in one pass; rules are a few literals."""
-    words = sorted({w for r in rules for w in [*r.strong, *r.medium, *r.negative, *r.required, *r.blocking]})
-    at = {w: f"_c{i}" for i, w in enumerate(words)}
+    """path, rule_id, score, confidence, start_line: at most one row for each file and rule.
+
+    All single words are found in one pass over a file, phrases in one each; the line is that of the first match of
+    the first word that occurs, strong before medium before negative.
+    """
+    words = sorted({w for r in rules for w in [*r.strong, *r.medium, *r.negative]})
+    single = [w for w in words if re.fullmatch(r"\w+", w)]
     text = F.lower("content")
-    counted = files.select("path", *[word_count(text, w).alias(c) for w, c in at.items()])
+    one_of = rf"(?<!{_WORD})(?:{'|'.join(single)})(?!{_WORD})"
+    hits = spread(files.select("path", "content")).withColumn("_hits", F.regexp_extract_all(text, F.lit(one_of), 0) if single else F.array())
+    # the hits are few and are counted in place; without this step the pattern would run once for each word
+    counted = hits.select("path", "content", F.explode(F.array("_hits")).alias("_hits"))
+    count = {w: F.size("_hits") - F.size(F.array_remove("_hits", w)) if w in single else F.regexp_count(text, F.lit(bounded(w))) for w in words}
+    at = {w: f"_c{i}" for i, w in enumerate(words)}
+    counted = counted.select("path", "content", F.explode(F.array(F.struct(*[count[w].alias(c) for w, c in at.items()]))).alias("c")).select("path", "content", "c.*")
     rows = []
     for r in rules:
-        weights = [(w, r.weight_strong) for w in r.strong] + [(w, r.weight_medium) for w in r.medium] + [(w, -r.penalty) for w in r.negative]
-        total = sum((F.col(at[w]) * F.lit(x) for w, x in weights), F.lit(0.0))
+        order = [*[(w, r.weight_strong) for w in r.strong], *[(w, r.weight_medium) for w in r.medium], *[(w, -r.penalty) for w in r.negative]]
+        total = sum((F.col(at[w]) * F.lit(x) for w, x in order), F.lit(0.0))
         score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
-        ok = sum((F.col(at[w]) for w in [*r.strong, *r.medium]), F.lit(0)) > 0
+        ok = sum((F.col(at[w]) for w, _ in order), F.lit(0)) > 0
         for w in r.required:
-            ok &= F.col(at[w]) > 0
+            ok &= (F.col(at[w]) > 0) if w in [*r.strong, *r.medium] else F.lit(False)
         for w in r.blocking:
-            ok &= F.col(at[w]) == 0
-        rows.append(F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), score.alias("score"), F.greatest(score, F.lit(r.base)).alias("confidence"))))
-    found = counted.select("path", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("f"))
-    return found.select("path", "f.rule_id", "f.score", "f.confidence")
+            ok &= (F.col(at[w]) == 0) if w in r.negative else F.lit(True)
+        first = F.coalesce(*[F.when(F.col(at[w]) > 0, F.lit(bounded(w))) for w, _ in order])
+        rows.append(F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), score.alias("score"), F.greatest(score, F.lit(r.base)).alias("confidence"), first.alias("first"))))
+    found = counted.select("path", "content", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("f"))
+    before = F.substring(text, F.lit(1), F.regexp_instr(text, F.col("f.first")))
+    return found.select("path", "f.rule_id", "f.score", "f.confidence", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("start_line"))
 
 
 def redact(rows: DataFrame, column: str, classes: list[tuple[str, str, str]]) -> DataFrame:
     """column with each class's pattern replaced in turn, and n_<class> counted just before."""
+    rows = spread(rows)
     for name, regex, token in classes:
         rows = rows.withColumn(f"n_{name}", F.regexp_count(column, F.lit(regex)).cast("bigint")).withColumn(column, F.regexp_replace(column, regex, token))
     return rows

@@ -11,18 +11,15 @@ from ..operators import extract, walk
 from . import bindings as b
 from .registry import query
 
-# Rules over the words that the documents have: (rule, strong, medium, negative, required, blocking).
+# Rules over the words that the documents have.
 RULES = [
-    walk.Rule("en_prose", ["the", "and"], ["of", "with"], ["license"], ["the"], ["token"], 0.02, 0.01, 0.05, 0.35),
+    walk.Rule("en_prose", ["the", "and"], ["of", "with"], ["license", "token"], ["the"], ["token"], 0.02, 0.01, 0.05, 0.35),
     walk.Rule("fr_prose", ["les", "des"], ["que", "pour"], ["license"], ["les"], [], 0.03, 0.01, 0.05, 0.35),
-    walk.Rule("de_prose", ["der", "und"], ["mit", "nicht"], [], ["und"], ["license"], 0.03, 0.02, 0.05, 0.4),
+    walk.Rule("de_prose", ["der", "und"], ["mit", "nicht"], ["license"], ["und"], ["license"], 0.03, 0.02, 0.05, 0.4),
+    walk.Rule("es_prose", ["los", "de la"], ["que"], ["the"], ["de la"], [], 0.03, 0.01, 0.05, 0.3),
 ]
 
 
-def _count(word: str) -> str:
-    return f"(length(regexp_replace(lower(content), '(^|[^a-z0-9_]){word}([^a-z0-9_])', '\\1@@{word}\\2', 'g')) - length(lower(content))) // 2"
-
-
 SKIP = """CASE WHEN regexp_matches(path, '(^|/)(src0|src7)(/)') THEN 'ignored_dir' WHEN regexp_extract(path, '(\\.[^./]*)$', 1) IN ('.es') THEN 'ignored_ext'
  WHEN size > 5000 THEN 'too_large'
  WHEN length(substr(content, 1, 8192)) > 0 AND length(regexp_replace(substr(content, 1, 8192), '[^\\t\\n\\r\\x20-\\x7e]', '', 'g')) < length(substr(content, 1, 8192)) * 0.9 THEN 'binary' END"""
@@ -91,17 +88,31 @@ def text_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored_sql() -> str:
-    parts = []
+    """Counts words by cutting texts into words, and phrases as runs of them, line by line for the first place."""
+    said, need, stop = [], [], []
     for r in RULES:
-        total = " + ".join([f"{r.weight_strong} * {_count(w)}" for w in r.strong] + [f"{r.weight_medium} * {_count(w)}" for w in r.medium] + [f"-{r.penalty} * {_count(w)}" for w in r.negative] or ["0"])
-        need = " AND ".join([f"{_count(w)} > 0" for w in r.required] + [f"{_count(w)} = 0" for w in r.blocking] + ["(" + " + ".join(_count(w) for w in r.strong + r.medium) + ") > 0"])
-        parts.append(f"SELECT path, '{r.rule_id}' AS rule_id, round(greatest(0.0, least(1.0, {total})), 6) AS score, {r.base} AS base FROM files WHERE {need}")
-    return f"WITH {b.FILES}, s AS ({' UNION ALL '.join(parts)}) SELECT path, rule_id, score, CAST(greatest(score, base) AS DOUBLE) AS confidence FROM s"
-
-
-@query(_scored_sql().replace("\\\\", "\\"))
+        weights = [(w, r.weight_strong) for w in r.strong] + [(w, r.weight_medium) for w in r.medium] + [(w, -r.penalty) for w in r.negative]
+        said += [f"('{r.rule_id}', '{w}', {x}, {k}, {r.base})" for k, (w, x) in enumerate(weights)]
+        need += [f"('{r.rule_id}', '{w}')" for w in r.required]
+        stop += [f"('{r.rule_id}', '{w}')" for w in r.blocking if w in r.negative]
+    gap = r"[^\pL\pN_]"
+    return f"""WITH {b.FILES}, said AS (SELECT * FROM (VALUES {', '.join(said)}) AS t(rule_id, word, weight, k, base)),
+    need AS (SELECT * FROM (VALUES {', '.join(need)}) AS t(rule_id, word)), stop AS (SELECT * FROM (VALUES {', '.join(stop)}) AS t(rule_id, word)),
+    lines AS (SELECT path, unnest(string_split(lower(content), chr(10))) AS line, generate_subscripts(string_split(lower(content), chr(10)), 1) AS n FROM files),
+    tokens AS (SELECT path, n, unnest(regexp_split_to_array(line, '{gap}+')) AS word FROM lines),
+    phrases AS (SELECT path, n, word FROM (SELECT path, n, unnest(regexp_extract_all(concat(' ', regexp_replace(line, '({gap})', '\\1\\1', 'g'), ' '), '{gap}(de  la){gap}', 1)) AS word FROM lines)),
+    words AS (SELECT path, n, word FROM tokens UNION ALL SELECT path, n, 'de la' FROM phrases),
+    counts AS (SELECT path, word, count(*) AS c, min(n) AS n FROM words WHERE word IN (SELECT word FROM said) GROUP BY path, word),
+    hits AS (SELECT path, rule_id, sum(c * weight) AS total, min(base) AS base, arg_min(n, k) AS start_line, list(word) AS found FROM counts JOIN said USING (word) GROUP BY path, rule_id),
+    kept AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM need WHERE need.rule_id = h.rule_id AND NOT list_contains(h.found, need.word))
+        AND NOT EXISTS (SELECT 1 FROM stop WHERE stop.rule_id = h.rule_id AND list_contains(h.found, stop.word)))
+    SELECT path, rule_id, round(CAST(greatest(0, least(1, total)) AS DOUBLE), 6) AS score, CAST(greatest(round(greatest(0, least(1, total)), 6), base) AS DOUBLE) AS confidence,
+        CAST(start_line AS INTEGER) AS start_line FROM kept"""
+
+
+@query(_scored_sql())
 def signal_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted signals with required and blocking markers: at most one finding for each file and rule."""
+    """Weighted signals with required and blocking markers: at most one finding for each file and rule, at its first signal."""
     return walk.score_rules(b.files(spark, sf_dir), RULES)
 
 
