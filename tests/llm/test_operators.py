@@ -286,7 +286,7 @@ def test_line_dedup_recall_on_the_documents(spark):
 
 
 def test_line_dedup_pigeonhole():
-    """Lines of nearly equal length whose 128-bit SimHashes differ in up to three bits are always candidates in blocks of up to crowd lines."""
+    """Lines of nearly equal length whose 128-bit SimHashes differ in up to three bits are joined by candidates of three bits at most."""
     r = random.Random(3)
     word = lambda: "".join(r.choices(string.ascii_lowercase, k=6))
     base = [word() for _ in range(300)]
@@ -300,11 +300,45 @@ def test_line_dedup_pigeonhole():
     s1, s2 = line_dedup.simhashes(lines, chosen)
     d = line_dedup.digests(lines, chosen)[0]
     block, of = line_dedup.blocks(lines, chosen, s1, s2)
-    a, b, _ = line_dedup.near(block, d[of], s1[of], s2[of], lines.characters(chosen)[of], 500, 0.9)
-    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    a, b, bits = line_dedup.near(block, d[of], s1[of], s2[of], lines.characters(chosen)[of], 500, 0.9)
+    joined = roots([(x, y) for x, y, n in zip(a.tolist(), b.tolist(), bits.tolist(), strict=True) if n <= 3])
     close = [(i, j) for i in range(len(rows)) for j in range(i) if 0 < np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j]) <= 3]
     assert len(close) > 20
-    assert all((min(d[i], d[j]), max(d[i], d[j])) in found for i, j in close)
+    assert all(joined[int(d[i])] == joined[int(d[j])] for i, j in close)
+    assert len(a) < 12 * len(rows)
+
+
+def test_spanning_forest():
+    """The edges kept are those of Kruskal's rule."""
+    r = random.Random(9)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(900)] + [(300, 301)]
+    up, want = list(range(400)), []
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (a, b) in enumerate(edges):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            want.append(k)
+    x, y = np.array(edges).T
+    assert line_dedup.spanning(x, y, 400).tolist() == want
+
+
+def test_shared_runs_bound():
+    """An edit takes at most three runs of three characters."""
+    r = random.Random(12)
+    for _ in range(200):
+        a = "".join(r.choices("abcdé ", k=r.randint(1, 90)))
+        b = list(a)
+        edits = r.randint(0, 8)
+        for _ in range(edits):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choices("abcdé ", k=r.randint(0, 1))
+        b = "".join(b)
+        assert line_dedup.shared_runs([a, "x"], [b, "x"])[0] >= max(len(a), len(b)) - 2 - 3 * edits
 
 
 def test_simhash_bits():
