@@ -13,7 +13,7 @@ linear and memory constant.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; where
 nothing could be learned every text is ``und``; a single learned language is predicted with
-score 1; repeated rows get equal rows; lang, source and doc_id are never inputs of a prediction.
+score 1; repeated rows get equal rows; at most ``MAX_LANGUAGES`` labels are learned; lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textcore import Texts, lane, release, sliced
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
+#: Labels that are learned at most: the commonest.
+MAX_LANGUAGES = 200
 TRAIN_BYTES = 3000
 BITS = 13
 GRAMS = (1, 2, 3, 4)
@@ -198,7 +201,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, text_bytes: int = T
     docs = docs.where("lang is not null and text is not null")
     whole = 1 << 62
     place = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # the commonest labels only, as each pair of a family has a machine
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return Machines()
     limit = F.lit(0)  # a fifth more than wanted of each language, so what comes to the driver doesn't grow with the input
@@ -248,7 +252,9 @@ def decide(m: Machines, texts: Texts) -> tuple[list[str], list[float]]:
 
 
 def predict(docs: DataFrame, machines: Machines) -> DataFrame:
-    """docs (all its columns) with lang_pred and score.  The tables (a few MB at most) go with the code."""
+    """docs (its columns, but for any of the two names) with lang_pred and score.  The tables (a few MB at most) go with the code."""
+    docs = docs.drop("lang_pred", "score")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machines)
     names = docs.columns
 
@@ -260,3 +266,18 @@ def predict(docs: DataFrame, machines: Machines) -> DataFrame:
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def known(docs: DataFrame, machines: Machines) -> DataFrame:
+    """The rows of docs that predict finds a language for, as they are."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(machines)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, limit=1 << 20):
+            langs, _ = decide(shared.value, Texts(b.column(at)))
+            yield b.filter(pa.array([x != UNKNOWN for x in langs]))
+        release()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .idfilter import IdFilter, maybe_in
-from .storage import materialize, parts
+from .storage import materialize, parts, small_batches
 from .textcore import Texts, Words, pack, release, run_starts, sliced, unpack, valid_windows, window_hashes
 
 WINDOW = 50
@@ -262,6 +262,7 @@ def _repeated(parts_of_docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(scan of all documents, the documents that lose words: doc_id, n_removed, kept_sha256, kept_text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     levels = lengths(window)
     levels = levels if len(levels) > 1 else [window, window]
     part = levels[0]
