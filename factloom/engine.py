@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog
-from .operators import extract, gate, graph, parsed, patterns, reports, risks
+from .operators import entrypoints, evidence, gate, graph, linking, patterns, reports, risks, rules, surface, walk
+from .operators.evidence import Budget
 from .sources import files as sources
 
 
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 @dataclass
 class Scan:
-    """What a scan found.  All frames are lazy; findings is worth persisting where several reports follow."""
+    """What a scan found.  All frames are lazy; what the detectors gave is persisted, as every report starts from it.
+
+    files are those scanned, findings have their evidence's id, walked says of every file seen why it was skipped, if it
+    was, and found is what the detectors gave before the limit on findings.
+    """
 
     files: DataFrame
     findings: DataFrame
+    walked: DataFrame
+    found: DataFrame
+    budget: Budget = field(default_factory=Budget)
 
     @property
     def events(self) -> DataFrame:
-        """Findings as events of their path, with a stable id."""
-        key = F.concat_ws(":", "path", "kind", F.col("start_line").cast("string"), F.coalesce("op", "method", "name", F.lit("")))
-        return self.findings.where("kind <> 'parse_error'").withColumn("event_id", F.substring(F.sha1(key.cast("binary")), 1, 12)).withColumn("queue_name", F.col("name"))
+        """Finds of event kinds as events of their path."""
+        kinds = [k for k in graph.NODE_TYPES if k.split(".")[0] in ("api", "db", "queue", "cache")]
+        rows = self.findings.where(F.col("kind").isin(kinds)).withColumn("event_id", F.col("fid")).withColumn("queue_name", F.col("name"))
+        return rows if self.budget.max_events is None else rows.orderBy("path", "start_line", "event_id").limit(self.budget.max_events)
+
+    def evidence(self) -> DataFrame:
+        return evidence.evidence_of(self.findings, self.files, self.budget)
+
+    def links(self) -> DataFrame:
+        return evidence.links(self.findings)
 
     def nodes(self) -> DataFrame:
         return graph.nodes(self.findings)
@@ -31,63 +54,161 @@ class Scan:
     def edges(self) -> DataFrame:
         return graph.edges(self.findings)
 
+    def surface(self) -> DataFrame:
+        """Endpoints of code and specifications."""
+        snippets = self.evidence().select(F.col("eid").alias("primary_eid"), "snippet")
+        return surface.endpoints(self.findings.join(snippets, "primary_eid", "left"))
+
+    def mismatches(self) -> DataFrame:
+        return surface.mismatches(self.surface())
+
+    def api_links(self) -> DataFrame:
+        """Callers with the endpoint that answers them."""
+        return linking.links(surface.callers(self.findings), self.surface())
+
+    def unmatched(self) -> DataFrame:
+        """(side, id, file) of callers and endpoints that no link has."""
+        told, calls, ends = self.api_links(), surface.callers(self.findings), self.surface()
+        left = calls.join(told.select("caller_id"), "caller_id", "left_anti").select(F.lit("caller").alias("side"), F.col("caller_id").alias("id"), "file")
+        return left.union(ends.join(told.select("endpoint_id"), "endpoint_id", "left_anti").select(F.lit("endpoint").alias("side"), F.col("endpoint_id").alias("id"), "file"))
+
     def patterns(self) -> DataFrame:
+        """All pattern rules; hints come from the findings of a path: their rule, snippet and concept."""
         ev = self.events
-        hints = self.files.select("path", F.col("content").alias("text"), F.lit("").alias("concept"))
-        rules = [patterns.transaction_missing(ev), patterns.db_write_outside_tx(ev), patterns.queue_without_consumer(ev.where("kind = 'queue.dispatch'"), ev.where("kind = 'queue.consume'")), patterns.write_without_guard(ev, hints), patterns.hot_write_path(ev, hints)]
-        out = rules[0]
-        for r in rules[1:]:
-            out = out.unionByName(r)
-        return out.distinct()
+        snippets = self.evidence().select(F.col("eid").alias("primary_eid"), "snippet")
+        hints = self.findings.join(snippets, "primary_eid", "left").select("path", F.concat_ws(" ", "rule_id", "snippet", "concept").alias("text"), F.col("concept"))
+        apart = self.unmatched().groupBy().agg(F.count_if(F.col("side") == "caller").alias("callers"), F.count_if(F.col("side") == "endpoint").alias("endpoints"))
+        return _union([
+            patterns.transaction_missing(ev), patterns.db_write_outside_tx(ev), patterns.queue_without_consumer(ev.where("kind = 'queue.dispatch'"), ev.where("kind = 'queue.consume'")),
+            patterns.write_without_guard(ev, hints), patterns.hot_write_path(ev, hints), patterns.cross_language_unmatched(apart),
+        ]).distinct().orderBy("pattern_type", "pattern_id")
 
     def risks(self, gate_status: str = "pass") -> DataFrame:
+        """Patterns as risks, the most pressing first."""
         refs = F.size(F.split("support", ","))
         score = risks.score(F.col("severity"), F.col("status"), F.col("pattern_type"), refs, F.col("confidence"), F.lit(gate_status))
-        return risks.rank(self.patterns().withColumn("risk_id", F.col("pattern_id")).withColumn("seq", F.lit(0)).withColumn("priority_score", score)).drop("seq").orderBy(F.desc("priority_score"), "severity", "status", "risk_id")
+        items = self.patterns().withColumn("risk_id", F.col("pattern_id")).withColumn("priority_score", score)
+        return risks.rank(items).orderBy(F.desc("priority_score"), "severity", "status", "risk_id")
+
+    def entrypoints(self) -> DataFrame:
+        """How the project is started, the surest first."""
+        return entrypoints.find(self.files).orderBy(F.desc("confidence"), "kind", "title", "path")
 
     def sarif(self) -> DataFrame:
-        f = self.findings.select(F.col("kind").alias("rule_id"), F.col("kind").alias("concept"), "path", "start_line", "end_line", risks.sarif_level(F.col("confidence")).alias("severity"))
-        return reports.sarif(f.withColumn("fp", gate.fingerprint("rule_id", "path", "start_line", "end_line")))
+        f = self.findings.select("rule_id", F.coalesce("concept", "kind").alias("concept"), "path", "start_line", "end_line", risks.sarif_level(F.col("confidence")).alias("severity"), F.col("fid").alias("fp"))
+        return reports.sarif(f)
+
+    def verify(self, strict: bool = False) -> DataFrame:
+        """Counts of every check of this scan's own integrity."""
+        return evidence.verify(self.findings, self.evidence(), self.links(), self.nodes(), self.edges(), self.budget, strict)
+
+    def metrics(self) -> DataFrame:
+        """(metric, actual): what gates are put to."""
+        walked = self.walked.agg(F.count("*").alias("n"), F.count("reason").alias("skipped"), F.count_if(F.col("reason") == "budget").alias("cut")).join(self.files.agg(F.count("*").alias("scanned")))
+        n = lambda df, name: df.agg(F.count("*").alias(name))
+        all_ = walked
+        side = self.mismatches().agg(F.count_if(F.col("side") == "missing_in_spec").alias("only_code"), F.count_if(F.col("side") == "missing_in_code").alias("only_spec"))
+        warned = n(self.findings.where("kind = 'parse_error'"), "warned")
+        for more in (n(self.found, "n_found"), n(self.findings, "n_kept"), n(self.nodes(), "n_nodes"), n(self.edges(), "n_edges"), side, warned):
+            all_ = all_.join(more)  # one row each
+        events = self.budget.max_events
+        told = {
+            "artifacts_missing_count": F.lit(0), "budget_cut": F.col("cut") > 0, "findings_truncated": F.col("n_found") > F.col("n_kept"),
+            "events_truncated": F.lit(False) if events is None else F.col("n_nodes") > events, "skipped_ratio": F.when(F.col("n") > 0, F.col("skipped") / F.col("n")).otherwise(0.0),
+            "scanned_files_count": F.col("scanned"), "skipped_files_count": F.col("skipped"), "warnings_count": F.col("warned"), "api.missing_in_spec_count": F.col("only_code"),
+            "api.missing_in_code_count": F.col("only_spec"), "events_count": F.col("n_nodes"), "graph_edges": F.col("n_edges"),
+        }
+        return all_.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("actual")) for k, v in told.items()])).alias("m")).select("m.*")
+
+    def skipped_top(self, most: int = 3) -> DataFrame:
+        """The commonest reasons to skip a file."""
+        return self.walked.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(most)
+
+    def gate(self, gate_rules: DataFrame) -> DataFrame:
+        """Broken rules (metric, op, value, level), by metric."""
+        return gate.violations(self.metrics(), gate_rules).orderBy("metric", "level")
+
+    def summary(self) -> DataFrame:
+        """(part, name, n): languages, concepts, kinds, frameworks, patterns and risks by how often they occur."""
+        count = lambda df, part, by: df.where(F.col(by).isNotNull()).groupBy(F.lit(part).alias("part"), F.col(by).alias("name")).agg(F.count("*").alias("n"))
+        found = [count(self.findings, part, by) for part, by in (("language", "language"), ("concept", "concept"), ("kind", "kind"), ("framework", "framework"), ("level", "parse_level"))]
+        return _union([*found, count(self.patterns(), "pattern", "pattern_type"), count(self.entrypoints(), "entrypoint", "kind")]).orderBy("part", F.desc("n"), "name")
+
+    def listing(self, entity: str) -> DataFrame:
+        """concepts, findings, evidence, events or graph, as lists in order."""
+        if entity == "concepts":
+            return self.findings.groupBy("concept").agg(F.count("*").alias("n")).orderBy("concept")
+        if entity == "findings":
+            return self.findings.select("fid", "concept", "confidence").orderBy("fid")
+        if entity == "evidence":
+            return self.evidence().select("eid", "path", "start_line", "end_line").orderBy("eid")
+        if entity == "events":
+            return self.nodes().select("event_id", "type", "key")
+        if entity == "graph":
+            return self.nodes().agg(F.count("*").alias("nodes")).join(self.edges().agg(F.count("*").alias("edges")))
+        raise ValueError(f"no such entity: {entity}")
+
+    def explain(self, fid: str) -> DataFrame:
+        """A finding with its evidence, and the node that it stands for."""
+        one = graph.placed(self.findings.where(F.col("fid") == fid)).select("fid", "rule_id", "concept", "confidence", "event_id", "type", "key", "primary_eid")
+        return one.join(self.evidence().withColumnRenamed("eid", "primary_eid"), "primary_eid")
 
     def diff(self, base: Scan) -> DataFrame:
-        sides = [s.findings.select(gate.fingerprint("kind", "path", "method", "route", "op", "name").alias("fp"), risks.sarif_level(F.col("confidence")).alias("severity")).groupBy("fp").agg(F.max("severity").alias("severity")) for s in (base, self)]
-        return gate.baseline_diff(*sides)
+        """Findings of both scans by fid, with what became of their severity."""
+        mine, its = (s.findings.select(F.col("fid").alias("fp"), risks.sarif_level(F.col("confidence")).alias("severity")).groupBy("fp").agg(F.max("severity").alias("severity")) for s in (self, base))
+        return gate.baseline_diff(its, mine)
+
+    def diff_graph(self, base: Scan) -> DataFrame:
+        """(part, id, state): nodes and edges that were added, removed, or are in both scans."""
+
+        def both(new: DataFrame, old: DataFrame, part: str, key: str) -> DataFrame:
+            rows = new.select(key, F.lit(True).alias("n")).join(old.select(key, F.lit(True).alias("o")), key, "full_outer")
+            state = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("unchanged")
+            return rows.select(F.lit(part).alias("part"), F.col(key).alias("id"), state.alias("state"))
+
+        return both(self.nodes(), base.nodes(), "event", "event_id").union(both(self.edges(), base.edges(), "edge", "edge_id")).orderBy("part", "state", "id")
 
 
 class Engine:
     """Entry point: ``Engine(spark).scan(path)`` or ``Engine(spark).query(name, tables)``."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, rule_set: Sequence[rules.ScanRule] = tuple(rules.DEFAULT_RULES), budget: Budget = Budget()):
+        self.spark, self.rules, self.budget = spark, rule_set, budget
 
     def scan(self, root: str) -> Scan:
-        return self.scan_files(sources.kept(sources.read_tree(self.spark, root)))
+        return self.scan_files(sources.read_tree(self.spark, root))
 
     def scan_zip(self, archives: str) -> Scan:
-        return self.scan_files(sources.read_zips(self.spark, archives).where("reason is null").select("path", "content", "size", F.sha2("content", 256).alias("sha256")))
+        members = sources.read_zips(self.spark, archives).where("reason is null")
+        return self.scan_files(members.select("path", "content", "size", F.sha2("content", 256).alias("sha256")))
 
     def scan_files(self, files: DataFrame, base: Scan | None = None) -> Scan:
         """Findings of files; those that base has with the same digest are taken from there."""
+        b = self.budget
+        walked = files.withColumn("reason", walk.skip_reason(F.col("path"), F.col("size"), F.col("content"), max_bytes=b.max_file_bytes))
+        kept = walked.where("reason is null").drop("reason")
+        if b.max_files is not None or b.max_total_bytes is not None:
+            # the first files by path, at most max_files of them, as far as their bytes go
+            sizes = kept.select("path", "size").orderBy("path").limit(b.max_files) if b.max_files is not None else kept.select("path", "size")
+            total = F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
+            within = sizes.withColumn("total", total).where(F.col("total") <= b.max_total_bytes) if b.max_total_bytes is not None else sizes
+            names = within.select("path", F.lit(True).alias("in"))
+            walked = walked.join(names, "path", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("in").isNull(), "budget"))).drop("in")
+            kept = kept.join(names.select("path"), "path", "left_semi")
+        if b.max_lines is not None:
+            kept = kept.withColumn("content", F.substring_index("content", "\n", b.max_lines))
         if base is None:
-            return Scan(files, self._detect(files))
-        same = files.join(base.files.select("path", "sha256").distinct(), ["path", "sha256"], "left_semi")
-        fresh = files.join(base.files.select("path", "sha256").distinct(), ["path", "sha256"], "left_anti")
-        return Scan(files, base.findings.join(same.select("path").distinct(), "path", "left_semi").unionByName(self._detect(fresh)))
+            found = self._detect(kept)
+        else:
+            known = base.files.select("path", "sha256").distinct()
+            same = kept.join(known, ["path", "sha256"], "left_semi")
+            found = base.found.join(same.select("path").distinct(), "path", "left_semi").unionByName(self._detect(kept.join(known, ["path", "sha256"], "left_anti")))
+        found = found.persist()
+        findings = found if b.max_findings is None else found.orderBy("path", "start_line", "rule_id", "kind", "fid").limit(b.max_findings)
+        return Scan(kept, findings, walked.select("path", "size", "reason"), found, b)
 
     def _detect(self, files: DataFrame) -> DataFrame:
-        lines = extract.lines_of(files.where(F.col("path").rlike(r"\.(ts|tsx|js|sql)$")))
-        out = parsed.structure(files)
-        script = lines.where(~F.col("path").endswith(".sql"))
-        more = [
-            extract.express_routes(script).select("path", F.lit("typescript").alias("language"), F.lit("express").alias("framework"), F.lit("api.route").alias("kind"), "method", "route", "line_no", "confidence"),
-            extract.cache_operations(script).select("path", F.lit("typescript").alias("language"), F.lit("redis").alias("framework"), "kind", "op", "line_no", F.lit(0.8).alias("confidence")),
-            extract.queue_operations(script).select("path", F.lit("typescript").alias("language"), F.lit("bullmq").alias("framework"), "kind", F.col("queue").alias("name"), "line_no", F.lit(0.81).alias("confidence")),
-            extract.sql_tx(lines.where(F.col("path").endswith(".sql"))).select("path", F.lit("sql").alias("language"), F.lit("sql").alias("framework"), F.lit("db.transaction").alias("kind"), F.col("start_line").alias("line_no"), "end_line", "confidence"),
-        ]
-        for m in more:
-            m = m.withColumn("start_line", F.col("line_no").cast("int")).withColumn("end_line", (F.col("end_line") if "end_line" in m.columns else F.col("line_no")).cast("int")).drop("line_no")
-            out = out.unionByName(m, allowMissingColumns=True)
-        return out
+        return evidence.with_ids(rules.detect(files.select("path", "content"), self.rules))
 
     def query(self, name: str, tables: str) -> DataFrame:
         """A registered query over a folder of tables."""

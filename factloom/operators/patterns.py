@@ -66,9 +66,8 @@ def hot_write_path(events: DataFrame, findings: DataFrame) -> DataFrame:
     return pattern(rows, "hot_write_path", "medium", F.when(every, 0.78).otherwise(0.64), F.when(every, "confirmed").otherwise("suspected"), "first_api", "first_db_write", "first_queue", "first_cache_write")
 
 
-def unmatched_summary(unmatched_callers: DataFrame, unmatched_endpoints: DataFrame) -> DataFrame:
-    """One cross-language pattern if either side has unmatched rows."""
-    counts = unmatched_callers.agg(F.count("*").alias("callers")).crossJoin(unmatched_endpoints.agg(F.count("*").alias("endpoints")))
+def cross_language_unmatched(counts: DataFrame) -> DataFrame:
+    """One pattern if any of the callers or endpoints (one row of their counts) is unmatched."""
     rows = counts.where("callers > 0 or endpoints > 0").withColumn("path", F.lit("cross_language_summary.json"))
     return pattern(rows, "cross_language_api_unmatched", "medium", 0.86, "confirmed", "callers", "endpoints")
 

@@ -26,8 +26,9 @@ def score(severity: Column, status: Column, pattern_type: Column, refs: Column,
 
 
 def rank(items: DataFrame) -> DataFrame:
-    """items with priority_score, the first of each risk_id (by its order column), and their place."""
-    one = Window.partitionBy("risk_id").orderBy("seq")
+    """The first of the items (with priority_score) of each risk_id: by seq where they have it, else the most pressing, by what it says."""
+    order = ["seq"] if "seq" in items.columns else [F.desc("priority_score"), *sorted(c for c in items.columns if c not in ("risk_id", "priority_score"))]
+    one = Window.partitionBy("risk_id").orderBy(*order)
     return items.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
 
 
