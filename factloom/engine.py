@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -42,29 +43,47 @@ class Scan:
         rows = self.findings.where(F.col("kind").isin(kinds)).withColumn("event_id", F.col("fid")).withColumn("queue_name", F.col("name"))
         return rows if self.budget.max_events is None else rows.orderBy("path", "start_line", "event_id").limit(self.budget.max_events)
 
+    @functools.cached_property
+    def _evidence(self) -> DataFrame:
+        return evidence.evidence_of(self.findings, self.files, self.budget).persist()
+
+    @functools.cached_property
+    def _surface(self) -> DataFrame:
+        snippets = self._evidence.select(F.col("eid").alias("primary_eid"), "snippet")
+        return surface.endpoints(self.findings.join(snippets, "primary_eid", "left")).persist()
+
+    @functools.cached_property
+    def _api_links(self) -> DataFrame:
+        return linking.links(surface.callers(self.findings), self._surface).persist()
+
     def evidence(self) -> DataFrame:
-        return evidence.evidence_of(self.findings, self.files, self.budget)
+        """Places of the findings, with their lines."""
+        return self._evidence
 
     def links(self) -> DataFrame:
         return evidence.links(self.findings)
 
+    @functools.cached_property
+    def placed(self) -> DataFrame:
+        """Finds with the nodes that they stand for; persisted, as all edges are made of it."""
+        return graph.placed(self.findings).persist()
+
     def nodes(self) -> DataFrame:
-        return graph.nodes(self.findings)
+        return graph.nodes(self.placed)
 
     def edges(self) -> DataFrame:
-        return graph.edges(self.findings)
+        return graph.edges(self.placed)
 
     def surface(self) -> DataFrame:
         """Endpoints of code and specifications."""
-        snippets = self.evidence().select(F.col("eid").alias("primary_eid"), "snippet")
-        return surface.endpoints(self.findings.join(snippets, "primary_eid", "left"))
+        return self._surface
 
     def mismatches(self) -> DataFrame:
         return surface.mismatches(self.surface())
 
     def api_links(self) -> DataFrame:
         """Callers with the endpoint that answers them."""
-        return linking.links(surface.callers(self.findings), self.surface())
+        return self._api_links
 
     def unmatched(self) -> DataFrame:
         """(side, id, file) of callers and endpoints that no link has."""
@@ -150,7 +169,7 @@ class Scan:
 
     def explain(self, fid: str) -> DataFrame:
         """A finding with its evidence, and the node that it stands for."""
-        one = graph.placed(self.findings.where(F.col("fid") == fid)).select("fid", "rule_id", "concept", "confidence", "event_id", "type", "key", "primary_eid")
+        one = self.placed.where(F.col("fid") == fid).select("fid", "rule_id", "concept", "confidence", "event_id", "type", "key", "primary_eid")
         return one.join(self.evidence().withColumnRenamed("eid", "primary_eid"), "primary_eid")
 
     def diff(self, base: Scan) -> DataFrame:
@@ -176,7 +195,7 @@ class Engine:
         self.spark, self.rules, self.budget = spark, rule_set, budget
 
     def scan(self, root: str) -> Scan:
-        return self.scan_files(sources.read_tree(self.spark, root))
+        return self.scan_files(sources.read_tree(self.spark, root, max_bytes=self.budget.max_file_bytes))
 
     def scan_zip(self, archives: str) -> Scan:
         members = sources.read_zips(self.spark, archives).where("reason is null")
@@ -203,7 +222,7 @@ class Engine:
             known = base.files.select("path", "sha256").distinct()
             same = kept.join(known, ["path", "sha256"], "left_semi")
             found = base.found.join(same.select("path").distinct(), "path", "left_semi").unionByName(self._detect(kept.join(known, ["path", "sha256"], "left_anti")))
-        found = found.persist()
+        found = found.repartition("path").persist()  # reports join finds of one path
         findings = found if b.max_findings is None else found.orderBy("path", "start_line", "rule_id", "kind", "fid").limit(b.max_findings)
         return Scan(kept, findings, walked.select("path", "size", "reason"), found, b)
 

@@ -37,23 +37,6 @@ def language(path: Column) -> Column:
     return out
 
 
-def looks_binary(text: Column) -> Column:
-    """A NUL, or fewer than 70 % printable ASCII characters in the sample; an empty text isn't binary."""
-    sample = F.substring(text, 1, SAMPLE_BYTES)
-    printable = F.regexp_count(sample, F.lit(r"[\t\n\r\x20-\x7e]"))
-    return (F.length(sample) > 0) & (F.contains(sample, F.lit("\0")) | (printable < F.length(sample) * PRINTABLE_SHARE))
-
-
-def skip_reason(path: Column, size: Column, text: Column, max_bytes: int, more_dirs: tuple[str, ...] = ()) -> Column:
-    """The first reason to skip a file, or null to keep it."""
-    p = F.regexp_replace(path, r"\\", "/")
-    return (
-        F.when(F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, [*IGNORED_DIRS, *more_dirs]))), "ignored_dir")
-        .when(F.lower(base_name(p)).contains(IGNORED_NAME_PART) | extension(p).isin(IGNORED_EXTENSIONS), "ignored_ext")
-        .when(size > max_bytes, "too_large").when(looks_binary(text), "binary")
-    )
-
-
 def lines(text: Column) -> Column:
     """Lines without their ends; a newline at the end begins no line."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n"))

@@ -29,22 +29,9 @@ def link_path(path: Column) -> Column:
     return _framed(_template(F.regexp_replace(F.coalesce(path, F.lit("")), "[?#].*$", "")))
 
 
-def join_path(prefix: Column, suffix: Column) -> Column:
-    """Prefix and suffix with one slash between, none at the end, one at the beginning."""
-    p, s = F.coalesce(prefix, F.lit("")), F.coalesce(suffix, F.lit(""))
-    return _framed(F.regexp_replace(F.concat(p, F.lit("/"), s), "/{2,}", "/"))
-
-
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
 def is_placeholder(segment: Column) -> Column:
     return segment.rlike(r"^\{[^{}]+\}$")
-
-
-def template_matches(template: Column, path: Column) -> Column:
-    """As many segments on both sides, each equal or a placeholder of the template, at least one of which is used."""
-    t, p = segments(template), segments(path)
-    each = F.forall(F.zip_with(t, p, lambda a, b: (a == b) | is_placeholder(a)), lambda ok: ok)
-    return (F.size(t) == F.size(p)) & each & F.exists(t, is_placeholder)

@@ -42,21 +42,20 @@ def placed(findings: DataFrame) -> DataFrame:
     return first.unionByName(infra).unionByName(items).withColumn("event_id", short_sha(F.col("type"), F.col("key")))
 
 
-def nodes(findings: DataFrame) -> DataFrame:
-    """One node for each type and key, in order of event_id: largest confidence, all evidence, and its first place."""
-    rows = placed(findings).groupBy("event_id", "type", "key")
+def nodes(placed_rows: DataFrame) -> DataFrame:
+    """One node for each type and key of placed finds, in order of event_id: largest confidence, all evidence, and its first place."""
+    rows = placed_rows.groupBy("event_id", "type", "key")
     at = F.min(F.struct("path", "start_line", "end_line", "language", "framework"))
     return rows.agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("primary_eid")).alias("evidence"), at.alias("at")).select("event_id", "type", "key", "confidence", "evidence", "at.*").orderBy("event_id")
 
 
-def edges(findings: DataFrame) -> DataFrame:
-    """All edges in order of edge_id: edge_id, from_id, to_id, type.
+def edges(rows: DataFrame) -> DataFrame:
+    """All edges between placed finds, in order of edge_id: edge_id, from_id, to_id, type.
 
     A node is supported_by its evidence; an api and what is seen in its function (same function, or lines inside it) are
     observed_in_same_scope, and by the other's type encloses_tx, uses_cache or dispatches_job; a transaction has the
     cache and queue operations inside its lines; workflows declare items, services declare_dependency on what they stand for.
     """
-    rows = placed(findings)
     out = [rows.select(F.col("event_id").alias("from_id"), F.col("primary_eid").alias("to_id"), F.lit("supported_by").alias("type"))]
     inner = rows.where(F.col("type").isin("tx_boundary", "db_op", "queue_dispatch", "queue_consume", "cache_op"))
     inner = inner.select("path", F.col("event_id").alias("to_id"), F.col("type").alias("to_type"), F.col("scope").alias("s2"), F.col("start_line").alias("a2"), F.col("end_line").alias("z2"))

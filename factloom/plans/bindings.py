@@ -26,7 +26,7 @@ _PATH = r"regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
 ENDPOINTS = f"""ep AS (SELECT page_id AS endpoint_id, CASE page_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method,
     CASE WHEN page_id % 2 = 0 THEN regexp_replace({_PATH}, '[0-9]+', '{{id}}', 'g') ELSE {_PATH} END AS path, concat('api/', page_id % 40, '.py') AS file FROM pages)"""
 CALLERS = f"""ca AS (SELECT page_id AS caller_id, CASE (page_id + page_id // 7) % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method,
-    {_PATH} AS path, concat('web/', page_id % 30, '.ts') AS file FROM pages WHERE page_id % 5 <> 0)"""
+    {_PATH} AS path, concat('web/', page_id % 30, '.ts') AS file FROM pages)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,4 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
-    return _url_path(spark, sf_dir).where(n % 5 != 0).select(n.alias("caller_id"), _method(n + F.expr("page_id div 7")).alias("method"), "path", F.concat(F.lit("web/"), (n % 30).cast("string"), F.lit(".ts")).alias("file"))
+    return _url_path(spark, sf_dir).select(n.alias("caller_id"), _method(n + F.expr("page_id div 7")).alias("method"), "path", F.concat(F.lit("web/"), (n % 30).cast("string"), F.lit(".ts")).alias("file"))

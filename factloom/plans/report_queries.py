@@ -15,16 +15,16 @@ def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.bands(b.findings(spark, sf_dir))
 
 
-@query(f"WITH {b.FINDINGS}, {b.EVIDENCE}, s AS (SELECT fid, unnest([primary_eid, primary_eid + 1]) AS ref FROM fd WHERE fid % 3 = 0) SELECT s.fid, ref, path, start_line FROM s JOIN evd ON s.ref = evd.eid")
+@query(f"WITH {b.FINDINGS}, {b.EVIDENCE}, s AS (SELECT fid, unnest([primary_eid, primary_eid + 1]) AS ref FROM fd) SELECT s.fid, ref, path, start_line FROM s JOIN evd ON s.ref = evd.eid")
 def pattern_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence that a pattern's array of ids names."""
-    p = b.findings(spark, sf_dir).where("fid % 3 = 0").select("fid", F.array("primary_eid", F.col("primary_eid") + 1).alias("ids"))
+    p = b.findings(spark, sf_dir).select("fid", F.array("primary_eid", F.col("primary_eid") + 1).alias("ids"))
     return reports.exploded_refs(p, "ids", b.evidence(spark, sf_dir).select("eid", "path", "start_line"), "eid").select("fid", "ref", "path", "start_line")
 
 
-@query("SELECT DISTINCT * FROM (SELECT l_suppkey AS id, 'out' AS direction, l_partkey AS neighbour FROM lineitem WHERE l_tax > 0.07 UNION ALL SELECT l_partkey, 'in', l_suppkey FROM lineitem WHERE l_tax > 0.07)")
+@query("SELECT DISTINCT * FROM (SELECT l_suppkey AS id, 'out' AS direction, l_partkey AS neighbour FROM lineitem UNION ALL SELECT l_partkey, 'in', l_suppkey FROM lineitem)")
 def event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.neighbours(b.table(spark, sf_dir, "lineitem").where("l_tax > 0.07").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
+    return reports.neighbours(b.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
 
 
 @query(f"WITH {b.FILES}, r AS (SELECT source, path, size, sum(size) OVER (PARTITION BY source ORDER BY size, path ROWS UNBOUNDED PRECEDING) AS running FROM files) SELECT source, path, CAST(running AS BIGINT) AS running FROM r WHERE running <= 12000")
@@ -34,13 +34,13 @@ def drilldown_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {b.EVIDENCE}, g AS (SELECT flag, path, start_line, end_line FROM evd WHERE fid % 20 = 0), c AS (SELECT flag, path, count(*) AS n_ranges FROM g GROUP BY ALL),
+    f"""WITH {b.EVIDENCE}, g AS (SELECT flag, path, start_line, end_line FROM evd), c AS (SELECT flag, path, count(*) AS n_ranges FROM g GROUP BY ALL),
     f AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY n_ranges DESC, path) AS file_rank FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY flag, path ORDER BY start_line, end_line) AS range_rank FROM g)
     SELECT flag, path, start_line, end_line, n_ranges, file_rank FROM r JOIN f USING (flag, path) WHERE file_rank <= 5 AND range_rank <= 8"""
 )
 def drilldown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few ranges of the files that have the most."""
-    rows = b.evidence(spark, sf_dir).where("fid % 20 = 0").select("flag", "path", "start_line", "end_line")
+    rows = b.evidence(spark, sf_dir).select("flag", "path", "start_line", "end_line")
     return reports.capped_files(rows, "flag", 5, 8).select("flag", "path", "start_line", "end_line", "n_ranges", F.col("file_rank").cast("bigint").alias("file_rank"))
 
 

@@ -10,19 +10,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.walk import skip_reason
+from ..operators.rules import ScanRule
+from ..operators.walk import Rule, skip_reason
 
 ZIP_LIMITS = {"entries": 50_000, "entry_bytes": 8 << 20, "total_bytes": 1 << 30}
 
 
-def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """All files under a folder that Spark can read, their paths relative to it."""
+def read_tree(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """All files under a folder that Spark can read, their paths relative to it; of those over max_bytes the content is never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     base = root.rstrip("/")
     base = base.split("://", 1)[-1].lstrip("/") if "://" in base else base.lstrip("/")
-    relative = F.regexp_replace(F.regexp_extract("path", f"{base.replace('.', chr(92) + '.')}/(.*)$", 1), "%20", " ")
-    return df.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    relative = F.regexp_replace(F.regexp_extract("path", f"{base.replace('.', chr(92) + '.')}/(.*)$", 1), "%20", " ").alias("path")
+    size = F.col("length").alias("size")
+    read = df if max_bytes is None else df.where(F.col("length") <= max_bytes)
+    rows = read.select(relative, F.decode("content", "UTF-8").alias("content"), size, F.sha2("content", 256).alias("sha256"))
+    if max_bytes is None:
+        return rows
+    none = F.lit(None).cast("string")
+    return rows.union(df.where(F.col("length") > max_bytes).select(relative, none.alias("content"), size, none.alias("sha256")))
 
 
 def read_zips(spark: SparkSession, archives: str, limits: dict[str, int] = ZIP_LIMITS) -> DataFrame:
@@ -51,11 +58,12 @@ def kept(files: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """A case library of JSON lines; lines that aren't JSON are dropped."""
-    return spark.read.schema("case_id string, concept string, level int, language string, label string, evidence array<struct<path:string,start_line:int,end_line:int>>").option("mode", "DROPMALFORMED").json(path)
+    schema = "case_id string, concept string, level int, language string, label string, evidence array<struct<path:string,start_line:int,end_line:int>>"
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Text rules from JSON or, where PyYAML is installed, YAML: a list of records."""
+def read_rules(spark: SparkSession, path: str) -> list[ScanRule]:
+    """Scan rules from JSON or, where PyYAML is installed, YAML: a list of records, or one under "rules"."""
     text = spark.read.text(path, wholetext=True).first()[0]
     try:
         import yaml
@@ -65,6 +73,21 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
         import json
 
         rules = json.loads(text)
-    kinds = {"rule_id": "string", "concept": "string", "kind": "string", "confidence": "double", "patterns": "array<string>", "globs": "array<string>"}
-    rows = [(r.get("rule_id") or r.get("id"), r.get("concept"), r.get("kind", "text"), float(r.get("confidence") or 0.5), list(r.get("patterns") or []), list(r.get("globs") or ["**/*"])) for r in rules or []]
-    return spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    if isinstance(rules, dict):
+        rules = rules.get("rules")
+    return [_rule(r) for r in rules or []]
+
+
+def _rule(r: dict) -> ScanRule:
+    patterns = [p if isinstance(p, str) else p.get("value") or p.get("regex") for p in r.get("patterns") or []]
+    meta = r.get("meta") or {}
+    said, gate, weigh = meta.get("signals") or {}, meta.get("gating") or {}, meta.get("scoring") or {}
+    base, name = float(r.get("confidence_base") or 0.3), r.get("rule_id") or r.get("id")
+    signals = None
+    if said or gate or weigh:
+        signals = Rule(
+            name, list(said.get("strong") or []), list(said.get("medium") or []), list(said.get("negative") or []), list(gate.get("required_markers_all") or []), list(gate.get("anti_patterns_block_if") or []),
+            float(weigh.get("weight_strong", 0.5)), float(weigh.get("weight_medium", 0.35)), abs(float(weigh.get("penalty_negative", 0.3))), base,
+        )
+    globs = tuple(r.get("globs") or r.get("include_globs") or ("**/*",))
+    return ScanRule(name, r.get("kind") or "text", r.get("concept") or "", globs, tuple(r.get("exclude_globs") or ()), base, r.get("parse_level") or "L1", tuple(p for p in patterns if p), signals)

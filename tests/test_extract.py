@@ -2,7 +2,7 @@
 
 import zipfile
 
-from factloom.operators import extract, graph, parsed
+from factloom.operators import evidence, extract, graph, parsed, rules
 from factloom.sources import files as src
 
 PY = '''from fastapi import APIRouter, FastAPI
@@ -86,11 +86,12 @@ def test_nest():
 
 def test_graph(spark):
     files = spark.createDataFrame([("a.py", PY), ("O.java", JAVA)], "path string, content string")
-    rows = parsed.structure(files)
-    kinds = {r["edge"] for r in graph.edges(rows).collect()}
-    assert kinds == {"encloses_tx", "uses_cache", "dispatches_job", "cache_within_tx", "dispatch_within_tx"}
-    ids = sorted(r["event_id"] for r in graph.nodes(rows).collect())
-    assert ids == sorted(r["event_id"] for r in graph.nodes(parsed.structure(files.repartition(3))).collect())
+    rows = graph.placed(evidence.with_ids(rules.detect(files)))
+    kinds = {r["type"] for r in graph.edges(rows).collect()}
+    assert kinds == {"encloses_tx", "uses_cache", "dispatches_job", "cache_within_tx", "dispatch_within_tx", "observed_in_same_scope", "supported_by"}
+    ids = [r["event_id"] for r in graph.nodes(rows).collect()]
+    again = graph.placed(evidence.with_ids(rules.detect(files.repartition(3))))
+    assert ids == sorted(ids) == [r["event_id"] for r in graph.nodes(again).collect()]
     assert len(set(ids)) == len(ids)
 
 
