@@ -13,7 +13,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-import functools
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -154,12 +154,6 @@ _SPACES = frozenset(b" \t\n\x0b\x0c\r")
 _LATIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\xbf])+")
 
 
-@functools.cache
-def _encoder(tokenizer_file: str, ranks_file: str | None) -> UnitEncoder:
-    """One for each worker process: loading the vocabulary takes a second."""
-    return UnitEncoder(tokenizer_file, ranks_file)
-
-
 def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: all are full but, where it doesn't divide, the first."""
     if n_ids <= capacity:
@@ -172,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, capacit
     """One row for each piece of each document, numbered within its block and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_file, ranks_file)
+        encoder = UnitEncoder(tokenizer_file, ranks_file)
         block = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in sliced(batches):
@@ -193,7 +187,9 @@ def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None, capacit
             cols = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth"])
-        encoder._clear()
+        # vocabularies of a hundred megabytes are not left to a worker that goes on to other tasks
+        del encoder
+        gc.collect()
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)

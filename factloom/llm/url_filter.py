@@ -96,6 +96,9 @@ def judge(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], k
         if len(few) > max_rules:
             return judge_by_join(pages, rules, key, default)
         rules = [tuple(r) for r in few]
+    rules = list(rules)
+    if len(rules) > max_rules:
+        return judge_by_join(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), key, default)
     shared = spark.sparkContext.broadcast(Trie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

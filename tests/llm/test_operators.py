@@ -686,7 +686,7 @@ def test_bottom_k(docs, rows, nothing):
         return len(a & b) / len(a | b) if a | b else 1.0
 
     assert len(got) == len(rows)
-    prints = {}
+    prints, edits = {}, {}
     for k, (i, t) in enumerate(ordered):
         following = ordered[(k + 1) % len(ordered)][1]
         tail = len(t) // 4
@@ -694,10 +694,20 @@ def test_bottom_k(docs, rows, nothing):
         match = [r for r in got if r["doc_id"] == i and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()]
         assert match and match[0]["n_chars"] == len(t)
         assert abs(match[0]["near_edited"] - likeness(shingles(t), shingles(edited))) < 0.2
+        assert abs(match[0]["near_next"] - likeness(shingles(t), shingles(following))) < 0.2
+        assert edits.setdefault(edited, match[0]["edited_fingerprint"]) == match[0]["edited_fingerprint"]
         assert prints.setdefault(t, match[0]["fingerprint"]) == match[0]["fingerprint"]
+    assert all(edits[t] == prints[t] for t in prints.keys() & edits.keys())
     assert bottom_k.report(nothing).count() == 0
 
 
+def test_bottom_k_containment(spark):
+    a, b = " ".join(map(str, range(400))), " ".join(map(str, range(2000)))
+    df = bottom_k.with_sketch(bottom_k.with_sketch(spark.createDataFrame([(a, b)], "a string, b string"), "a", "sa"), "b", "sb")
+    inside, around, same = df.select(bottom_k.containment(F.col("sa"), F.col("sb")), bottom_k.containment(F.col("sb"), F.col("sa")), bottom_k.containment(F.col("sa"), F.col("sa"))).first()
+    assert inside > 0.75 and 0.1 < around < 0.3 and same == 1.0
+
+
 def test_bottom_k_merges(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(0, 700)))), (1, " ".join(map(str, range(500, 1200))))], "g long, text string")
     parts = bottom_k.with_sketch(df, "text", "s")
