@@ -13,18 +13,12 @@ from . import catalog
 from .operators import entrypoints, evidence, gate, graph, linking, patterns, reports, risks, rules, surface, walk
 from .operators.evidence import Budget
 from .sources import files as sources
-
-
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+from .storage import materialize, union_all
 
 
 @dataclass
 class Scan:
-    """What a scan found.  All frames are lazy; what the detectors gave is persisted, as every report starts from it.
+    """What a scan found.  What the detectors gave, and what several reports start from, is a table in the shared folder.
 
     files are those scanned, findings have their evidence's id, walked says of every file seen why it was skipped, if it
     was, and found is what the detectors gave before the limit on findings.
@@ -45,16 +39,16 @@ class Scan:
 
     @functools.cached_property
     def _evidence(self) -> DataFrame:
-        return evidence.evidence_of(self.findings, self.files, self.budget).persist()
+        return materialize(evidence.evidence_of(self.findings, self.files, self.budget), "evidence")
 
     @functools.cached_property
     def _surface(self) -> DataFrame:
         snippets = self._evidence.select(F.col("eid").alias("primary_eid"), "snippet")
-        return surface.endpoints(self.findings.join(snippets, "primary_eid", "left")).persist()
+        return materialize(surface.endpoints(self.findings.join(snippets, "primary_eid", "left")), "surface")
 
     @functools.cached_property
     def _api_links(self) -> DataFrame:
-        return linking.links(surface.callers(self.findings), self._surface).persist()
+        return materialize(linking.links(surface.callers(self.findings), self._surface), "api-links")
 
     def evidence(self) -> DataFrame:
         """Places of the findings, with their lines."""
@@ -65,8 +59,8 @@ class Scan:
 
     @functools.cached_property
     def placed(self) -> DataFrame:
-        """Finds with the nodes that they stand for; persisted, as all edges are made of it."""
-        return graph.placed(self.findings).persist()
+        """Finds with the nodes that they stand for."""
+        return materialize(graph.placed(self.findings), "placed")
 
     def nodes(self) -> DataFrame:
         return graph.nodes(self.placed)
@@ -97,7 +91,7 @@ class Scan:
         snippets = self.evidence().select(F.col("eid").alias("primary_eid"), "snippet")
         hints = self.findings.join(snippets, "primary_eid", "left").select("path", F.concat_ws(" ", "rule_id", "snippet", "concept").alias("text"), F.col("concept"))
         apart = self.unmatched().groupBy().agg(F.count_if(F.col("side") == "caller").alias("callers"), F.count_if(F.col("side") == "endpoint").alias("endpoints"))
-        return _union([
+        return union_all([
             patterns.transaction_missing(ev), patterns.db_write_outside_tx(ev), patterns.queue_without_consumer(ev.where("kind = 'queue.dispatch'"), ev.where("kind = 'queue.consume'")),
             patterns.write_without_guard(ev, hints), patterns.hot_write_path(ev, hints), patterns.cross_language_unmatched(apart),
         ]).distinct().orderBy("pattern_type", "pattern_id")
@@ -151,7 +145,7 @@ class Scan:
         """(part, name, n): languages, concepts, kinds, frameworks, patterns and risks by how often they occur."""
         count = lambda df, part, by: df.where(F.col(by).isNotNull()).groupBy(F.lit(part).alias("part"), F.col(by).alias("name")).agg(F.count("*").alias("n"))
         found = [count(self.findings, part, by) for part, by in (("language", "language"), ("concept", "concept"), ("kind", "kind"), ("framework", "framework"), ("level", "parse_level"))]
-        return _union([*found, count(self.patterns(), "pattern", "pattern_type"), count(self.entrypoints(), "entrypoint", "kind")]).orderBy("part", F.desc("n"), "name")
+        return union_all([*found, count(self.patterns(), "pattern", "pattern_type"), count(self.entrypoints(), "entrypoint", "kind")]).orderBy("part", F.desc("n"), "name")
 
     def listing(self, entity: str) -> DataFrame:
         """concepts, findings, evidence, events or graph, as lists in order."""
@@ -222,8 +216,9 @@ class Engine:
             known = base.files.select("path", "sha256").distinct()
             same = kept.join(known, ["path", "sha256"], "left_semi")
             found = base.found.join(same.select("path").distinct(), "path", "left_semi").unionByName(self._detect(kept.join(known, ["path", "sha256"], "left_anti")))
-        found = found.repartition("path").persist()  # reports join finds of one path
-        findings = found if b.max_findings is None else found.orderBy("path", "start_line", "rule_id", "kind", "fid").limit(b.max_findings)
+        found = materialize(found, "found")
+        order = ["path", "start_line", "rule_id", "kind", "fid"]
+        findings = found if b.max_findings is None else materialize(found.orderBy(*order).limit(b.max_findings), "findings")
         return Scan(kept, findings, walked.select("path", "size", "reason"), found, b)
 
     def _detect(self, files: DataFrame) -> DataFrame:

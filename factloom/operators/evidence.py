@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import files as ff
+from ..storage import union_all
 from .graph import short_sha
 
 # Levels of parsing, and types of edges.
@@ -80,7 +81,4 @@ def verify(findings: DataFrame, evidence: DataFrame, bridge: DataFrame, nodes: D
         _count(nodes.select("event_id", named).join(ids, "eid", "left_anti"), "node_evidence_missing", "error"),
         _count(inner.select(F.col("from_id").alias("event_id")).union(inner.select("to_id")).join(known, "event_id", "left_anti"), "edge_node_missing", "error"),
     ]
-    rows = out[0]
-    for x in out[1:]:
-        rows = rows.unionByName(x)
-    return rows
+    return union_all(out)

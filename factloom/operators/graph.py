@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import union_all
+
 # Node types by kind of find, and edges from an api to what its function does.
 NODE_TYPES = {
     "api.route": "api", "db.transaction": "tx_boundary", "db.read": "db_op", "db.write": "db_op", "queue.dispatch": "queue_dispatch", "queue.consume": "queue_consume",
@@ -73,8 +75,5 @@ def edges(rows: DataFrame) -> DataFrame:
     service = rows.where("type = 'service'").select("primary_eid", F.col("event_id").alias("from_id"))
     infra = rows.where(F.col("type").isin(list(INFRA_TYPES.values()))).select("primary_eid", F.col("event_id").alias("to_id"))
     out.append(service.join(infra, "primary_eid").select("from_id", "to_id", F.lit("declares_dependency").alias("type")))
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    every = every.where("from_id <> to_id").distinct()
+    every = union_all(out).where("from_id <> to_id").distinct()
     return every.select(short_sha(F.col("from_id"), F.col("to_id"), F.col("type")).alias("edge_id"), "from_id", "to_id", "type").orderBy("edge_id")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import files as ff
+from ..storage import union_all
 from . import extract, parsed, walk
 
 FOUND = (
@@ -180,10 +181,5 @@ DETECTORS = {
 
 def detect(files: DataFrame, rules: Sequence[ScanRule] = DEFAULT_RULES) -> DataFrame:
     """What all rules find in files (path, content), in the form of FOUND."""
-    out = None
-    for r in rules:
-        for rows in DETECTORS[r.kind](files.where(sees(F.col("path"), r.globs, r.exclude)), r):
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return files.sparkSession.createDataFrame([], FOUND)
-    return out
+    out = [rows for r in rules for rows in DETECTORS[r.kind](files.where(sees(F.col("path"), r.globs, r.exclude)), r)]
+    return union_all(out) if out else files.sparkSession.createDataFrame([], FOUND)
