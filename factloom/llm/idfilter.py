@@ -16,24 +16,26 @@ from pyspark.sql import DataFrame
 
 from .textcore import mix
 
-#: log2 of the number of bits: 2 MB, whatever the input.
+#: log2 of the number of bits, unless another is given: 2 MB, whatever the input.
 BITS = 24
 _PAGE = 4096
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+def _slot(ids: np.ndarray, width: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - width)).astype(np.int64)
 
 
 class IdFilter:
     """Built from ids (one column of longs; nulls are left out), which must be cheap to compute.  Usable in tasks."""
 
-    def __init__(self, ids: DataFrame):
+    def __init__(self, ids: DataFrame, width: int = BITS):
+        self.width = width
+
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = np.zeros(1 << BITS, dtype=bool)
+            found = np.zeros(1 << width, dtype=bool)
             for b in batches:
                 col = b.column(0).drop_null()
-                found[_slot(col.to_numpy(zero_copy_only=False))] = True
+                found[_slot(col.to_numpy(zero_copy_only=False), width)] = True
             packed = np.packbits(found).reshape(-1, _PAGE)
             some = np.flatnonzero(packed.any(axis=1))
             if len(some):
@@ -47,7 +49,7 @@ class IdFilter:
             return pa.table({"page": group.column("page").slice(0, 1), "bits": pa.array([acc.tobytes()], pa.binary())})
 
         pages = ids.mapInArrow(bits, "page long, bits binary").groupBy("page").applyInArrow(merged, "page long, bits binary").toArrow()
-        table = np.zeros((1 << BITS) // 8, dtype=np.uint8).reshape(-1, _PAGE)
+        table = np.zeros((1 << width) // 8, dtype=np.uint8).reshape(-1, _PAGE)
         for page, raw in zip(pages.column("page").to_pylist(), pages.column("bits"), strict=True):
             table[page] = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
         self.shared = ids.sparkSession.sparkContext.broadcast(table.tobytes())
@@ -55,7 +57,7 @@ class IdFilter:
     def has(self, ids: np.ndarray) -> np.ndarray:
         """Whether each id may be in the set."""
         flat = np.frombuffer(self.shared.value, dtype=np.uint8)
-        slot = _slot(ids)
+        slot = _slot(ids, self.width)
         return (flat[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
     def keep(self, rows: DataFrame, column: str = "doc_id") -> DataFrame:

@@ -64,12 +64,14 @@ class Texts:
 
 
 class Words:
-    """Word spans of some texts: starts, ends, the row of each, and first[i] the first word of row i."""
+    """Word spans of some texts: starts, ends, the row of each, and first[i] the first word of row i.
 
-    def __init__(self, texts: Texts):
+    between marks the bytes that part words."""
+
+    def __init__(self, texts: Texts, between: np.ndarray = _SPACE):
         buf, offsets = texts.buf, texts.offsets
         self.texts = texts
-        self.is_word = ~_SPACE[buf]
+        self.is_word = ~between[buf]
         edge = np.empty(len(buf) + 1, dtype=bool)
         edge[:-1] = ~self.is_word
         edge[-1] = True
@@ -127,6 +129,14 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     return h
 
 
+def span_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte spans of UTF-8 text as strings."""
+    length = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    data = buf[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts, length)]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+
+
 def joined_hash(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
     """The hash of a sequence from those of its two parts, in order."""
     c, d = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB) if which == 0 else (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
