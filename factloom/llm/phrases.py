@@ -39,8 +39,8 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 INSIDE = 50
 #: log2 of the bits of a level's filter: 8 MB.
 FILTER_BITS = 26
-#: Text counted at a time, and sub-lists of a language that are ranked before its ranks are told.
-CHUNK, SALTS = 8 << 20, 64
+#: Text counted at a time, rows of a batch sent on, and sub-lists of a language that are ranked before its ranks are told.
+CHUNK, ROWS, SALTS = 2 << 20, 1 << 15, 64
 
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -119,7 +119,10 @@ def _counted(docs: DataFrame, size: int, below: IdFilter | None) -> DataFrame:
             first = np.flatnonzero(new)
             at = at[order[first]]
             counts = np.diff(np.append(first, len(order)))
-            yield pa.RecordBatch.from_arrays([lang.take(pa.array(g.words.row[at])), g.phrases(at, size).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
+            del one, two, order, some
+            for i in range(0, len(at), ROWS):
+                a = at[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(g.words.row[a])), g.phrases(a, size).cast(pa.string()), pa.array(counts[i : i + ROWS], pa.int64())], names=["lang", "phrase", "f"])
             if size == 1:
                 codes = lang.dictionary_encode()
                 n = np.bincount(codes.indices.to_numpy(zero_copy_only=False)[g.words.row], minlength=len(codes.dictionary))
