@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, kneser_ney, language_id, line_dedup, media, merge_dropout, near_dup, packing, phrases, substring_dedup, url_filter, whitening
+from . import bottom_k, kneser_ney, language_id, line_dedup, media, merge_dropout, near_dup, packing, phrases, pii, substring_dedup, url_filter, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +75,16 @@ def op12_apriori(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op13_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.report(docs, pii.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hierarchical_svm, op2_bottom_k, op3_kneser_ney, op4_tar_shards, op5_simhash_lines, op6_lsh_forest, op7_merge_dropout, op8_best_two_fit, op9_url_trie, op10_level_doubling,
-        op11_tsqr, op12_apriori,
+        op11_tsqr, op12_apriori, op13_semi_crf,
     )
 }
 
