@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog
-from .operators import entrypoints, evidence, gate, graph, linking, patterns, reports, risks, rules, surface, walk
+from .operators import entrypoints, evidence, extract, gate, graph, linking, modules, patterns, reports, risks, rules, surface, walk
 from .operators.evidence import Budget
 from .sources import files as sources
 from .storage import materialize, union_all
@@ -31,10 +31,14 @@ class Scan:
     budget: Budget = field(default_factory=Budget)
 
     @property
-    def events(self) -> DataFrame:
-        """Finds of event kinds as events of their path."""
+    def _all_events(self) -> DataFrame:
         kinds = [k for k in graph.NODE_TYPES if k.split(".")[0] in ("api", "db", "queue", "cache")]
-        rows = self.findings.where(F.col("kind").isin(kinds)).withColumn("event_id", F.col("fid")).withColumn("queue_name", F.col("name"))
+        return self.findings.where(F.col("kind").isin(kinds)).withColumn("event_id", F.col("fid")).withColumn("queue_name", F.col("name"))
+
+    @property
+    def events(self) -> DataFrame:
+        """Finds of event kinds as events of their path; the first of them where the budget cuts."""
+        rows = self._all_events
         return rows if self.budget.max_events is None else rows.orderBy("path", "start_line", "event_id").limit(self.budget.max_events)
 
     @functools.cached_property
@@ -48,7 +52,13 @@ class Scan:
 
     @functools.cached_property
     def _api_links(self) -> DataFrame:
-        return materialize(linking.links(surface.callers(self.findings), self._surface), "api-links")
+        return materialize(linking.links(surface.callers(self.findings), self._answering), "api-links")
+
+    @functools.cached_property
+    def _answering(self) -> DataFrame:
+        """Endpoints as callers reach them: below the prefix that another file mounts their router at."""
+        lines = extract.lines_of(self.files.where(F.col("path").rlike(r"\.[mc]?tsx?$")))
+        return materialize(modules.with_prefixes(self._surface, modules.mounted(lines, self.files)), "answering")
 
     def evidence(self) -> DataFrame:
         """Places of the findings, with their lines."""
@@ -81,7 +91,7 @@ class Scan:
 
     def unmatched(self) -> DataFrame:
         """(side, id, file) of callers and endpoints that no link has."""
-        told, calls, ends = self.api_links(), surface.callers(self.findings), self.surface()
+        told, calls, ends = self.api_links(), surface.callers(self.findings), self._answering
         left = calls.join(told.select("caller_id"), "caller_id", "left_anti").select(F.lit("caller").alias("side"), F.col("caller_id").alias("id"), "file")
         return left.union(ends.join(told.select("endpoint_id"), "endpoint_id", "left_anti").select(F.lit("endpoint").alias("side"), F.col("endpoint_id").alias("id"), "file"))
 
@@ -94,7 +104,7 @@ class Scan:
         return union_all([
             patterns.transaction_missing(ev), patterns.db_write_outside_tx(ev), patterns.queue_without_consumer(ev.where("kind = 'queue.dispatch'"), ev.where("kind = 'queue.consume'")),
             patterns.write_without_guard(ev, hints), patterns.hot_write_path(ev, hints), patterns.cross_language_unmatched(apart),
-        ]).distinct().orderBy("pattern_type", "pattern_id")
+        ]).distinct().orderBy(F.desc(risks.severity_rank(F.col("severity"))), "pattern_type", "pattern_id")
 
     def risks(self, gate_status: str = "pass") -> DataFrame:
         """Patterns as risks, the most pressing first."""
@@ -122,12 +132,12 @@ class Scan:
         all_ = walked
         side = self.mismatches().agg(F.count_if(F.col("side") == "missing_in_spec").alias("only_code"), F.count_if(F.col("side") == "missing_in_code").alias("only_spec"))
         warned = n(self.findings.where("kind = 'parse_error'"), "warned")
-        for more in (n(self.found, "n_found"), n(self.findings, "n_kept"), n(self.nodes(), "n_nodes"), n(self.edges(), "n_edges"), side, warned):
+        for more in (n(self.found, "n_found"), n(self.findings, "n_kept"), n(self.nodes(), "n_nodes"), n(self.edges(), "n_edges"), n(self._all_events, "n_events"), side, warned):
             all_ = all_.join(more)  # one row each
         events = self.budget.max_events
         told = {
             "artifacts_missing_count": F.lit(0), "budget_cut": F.col("cut") > 0, "findings_truncated": F.col("n_found") > F.col("n_kept"),
-            "events_truncated": F.lit(False) if events is None else F.col("n_nodes") > events, "skipped_ratio": F.when(F.col("n") > 0, F.col("skipped") / F.col("n")).otherwise(0.0),
+            "events_truncated": F.lit(False) if events is None else F.col("n_events") > events, "skipped_ratio": F.when(F.col("n") > 0, F.col("skipped") / F.col("n")).otherwise(0.0),
             "scanned_files_count": F.col("scanned"), "skipped_files_count": F.col("skipped"), "warnings_count": F.col("warned"), "api.missing_in_spec_count": F.col("only_code"),
             "api.missing_in_code_count": F.col("only_spec"), "events_count": F.col("n_nodes"), "graph_edges": F.col("n_edges"),
         }
@@ -138,8 +148,8 @@ class Scan:
         return self.walked.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(most)
 
     def gate(self, gate_rules: DataFrame) -> DataFrame:
-        """Broken rules (metric, op, value, level), by metric."""
-        return gate.violations(self.metrics(), gate_rules).orderBy("metric", "level")
+        """Broken rules (metric, op, value, level): those that fail first, each by metric."""
+        return gate.violations(self.metrics(), gate_rules).orderBy(F.when(F.col("level") == "fail", 0).otherwise(1), "metric", "level")
 
     def summary(self) -> DataFrame:
         """(part, name, n): languages, concepts, kinds, frameworks, patterns and risks by how often they occur."""

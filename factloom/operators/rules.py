@@ -167,10 +167,10 @@ def _text(files: DataFrame, r: ScanRule) -> list[DataFrame]:
         rows = walk.score_rules(files, [r.signals])
         return [_as_found(rows, r, kind="text", concept=r.concept, strength="text", confidence=_raised(r.base, F.col("score")))]
     out = []
-    for p in r.patterns:
+    for k, p in enumerate(r.patterns):
         hits = extract.lines_of(files).withColumn("n", F.regexp_count("line", F.lit(f"(?i){p}"))).where("n > 0")
         hits = hits.select("path", "line_no", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
-        out.append(_as_found(hits, r, kind="text", concept=r.concept, strength="text", op=F.col("nth"), confidence=r.base))
+        out.append(_as_found(hits, r, kind="text", concept=r.concept, strength="text", op=F.col("nth").cast("string") if not k else F.concat(F.lit(f"{k}."), F.col("nth")), confidence=r.base))
     return out
 
 

@@ -25,17 +25,38 @@ def confidence(kind: Column) -> Column:
     return out
 
 
+# The names that routes are declared on.
+VERB_OWNERS, ROUTE_OWNERS = ["app", "router"], ["app", "bp"]
+
+
+def _decorator(snippet: Column, callees: list[str]) -> Column:
+    """(callee, args) of the first decorator of a snippet that calls one of callees; null without."""
+    parts = F.transform(F.slice(F.split(snippet, "@"), 2, 1 << 30), lambda p: F.struct(F.trim(F.substring_index(p, "(", 1)).alias("callee"), F.ltrim(F.substr(p, F.instr(p, "(") + 1)).alias("args")))
+    return F.get(F.filter(parts, lambda p: p["callee"].isin(callees) & (p["args"] != "")), 0)
+
+
+def _literal(args: Column) -> Column:
+    """The quoted text that args begin with; null where they do not."""
+    parts = lambda mark: F.split(F.substr(args, F.lit(2)), mark)
+    return F.coalesce(*(F.when(args.startswith(mark) & (F.size(parts(mark)) > 1), F.get(parts(mark), 0)) for mark in ("'", '"')))
+
+
 def recovered(method: Column, route: Column, snippet: Column) -> tuple[Column, Column]:
-    """Method and route of a find, or, where it lacks one, of its snippet: a route decorator, else its first two words."""
-    quoted = r"""\s*\(\s*['"]([^'"]+)['"]"""
-    verb, at = (F.regexp_extract(snippet, rf"@(?:app|router)\.(get|post|put|delete|patch){quoted}", k) for k in (1, 2))
-    flask = F.regexp_extract(snippet, rf"@(?:app|bp)\.route{quoted}", 1)
-    declared = F.upper(F.regexp_extract(F.regexp_extract(snippet, r"(?i)methods\s*=\s*\[([^\]]+)\]", 1), rf"(?i)['\"]({'|'.join(VERBS)})['\"]", 1))
+    """Method and route of a find, or, where it lacks one, of its snippet.
+
+    A decorator named after a verb gives both; a route decorator gives the first verb of its list of methods, or GET;
+    else the snippet's first two words are taken.
+    """
+    by_verb = _decorator(snippet, [f"{o}.{v.lower()}" for o in VERB_OWNERS for v in VERBS])
+    by_route = _decorator(snippet, [f"{o}.route" for o in ROUTE_OWNERS])
+    verb_at, route_at = _literal(by_verb["args"]), _literal(by_route["args"])
+    listed = F.substring_index(F.substring_index(F.get(F.split(by_route["args"], r"methods\s*="), 1), "]", 1), "[", -1)
+    verbs = F.filter(F.transform(F.split(listed, ","), lambda x: F.upper(F.btrim(x, F.lit(" \t\n'\"")))), lambda x: x.isin(VERBS))
     words = F.split(F.trim(snippet), r"\s+")
     have = (F.coalesce(method, F.lit("")) != "") & (F.coalesce(route, F.lit("")) != "")
     two = F.size(words) >= 2
-    m = F.when(have, F.upper(method)).when(verb != "", F.upper(verb)).when(flask != "", F.when(declared != "", declared).otherwise("GET")).when(two, F.upper(words[0])).otherwise(F.upper(method))
-    r = F.when(have, route).when(verb != "", at).when(flask != "", flask).when(two, words[1]).otherwise(route)
+    m = F.when(have, F.upper(method)).when(verb_at != "", F.upper(F.substring_index(by_verb["callee"], ".", -1))).when(route_at != "", F.coalesce(F.get(verbs, 0), F.lit("GET"))).when(two, F.upper(F.get(words, 0))).otherwise(F.upper(method))
+    r = F.when(have, route).when(verb_at != "", verb_at).when(route_at != "", route_at).when(two, F.get(words, 1)).otherwise(route)
     return m, r
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import entrypoints, extract, parsed
+from ..operators import entrypoints, extract, parsed, surface
 from . import bindings as b
 from .registry import query
 
@@ -360,3 +360,23 @@ PYTHON = source(
 def source_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes and transactions of Python sources with their function; a file that can't be parsed is told."""
     return parsed.structure(files(spark, sf_dir, PYTHON)).select("path", "start_line", "framework", "kind", "method", "route", "scope")
+
+
+SNIPPETS = source(
+    "concat('api/', page_id, '.py')",
+    """CASE page_id % 8 WHEN 0 THEN concat('@login', chr(10), '@app.get("/items/', page_id, '")', chr(10), 'def f(): pass') WHEN 1 THEN concat('@router.delete( "/old/', page_id % 5, '" )')
+    WHEN 2 THEN concat('@bp.route("/flask/', page_id % 9, '", methods=["POST", "GET"])') WHEN 3 THEN concat('@app.route("/plain/', page_id % 9, '")') WHEN 4 THEN concat('patch /words/', page_id % 6, ' rest')
+    WHEN 5 THEN '@app.get(PATH)' WHEN 6 THEN 'alone' ELSE concat('@app.put("/ignored/', page_id, '")') END""",
+)
+
+
+@query(
+    """WITH m AS (SELECT page_id, page_id % 8 AS k FROM pages)
+    SELECT page_id, CASE k WHEN 0 THEN 'GET' WHEN 1 THEN 'DELETE' WHEN 2 THEN 'POST' WHEN 3 THEN 'GET' WHEN 4 THEN 'PATCH' WHEN 7 THEN 'HEAD' END AS method,
+    CASE k WHEN 0 THEN concat('/items/', page_id) WHEN 1 THEN concat('/old/', page_id % 5) WHEN 2 THEN concat('/flask/', page_id % 9) WHEN 3 THEN concat('/plain/', page_id % 9) WHEN 4 THEN concat('/words/', page_id % 6) WHEN 7 THEN '/own' END AS route FROM m"""
+)
+def source_surface_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method and route of API finds, where missing from their snippets: decorators, then the first two words."""
+    own = F.col("page_id") % 8 == 7
+    method, route = surface.recovered(F.when(own, "head"), F.when(own, "/own"), F.col("content"))
+    return files(spark, sf_dir, SNIPPETS).select("page_id", method.alias("method"), route.alias("route"))
