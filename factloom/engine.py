@@ -6,11 +6,11 @@ import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
-from .operators import entrypoints, evidence, extract, gate, graph, linking, modules, patterns, reports, risks, rules, surface, walk
+from .operators import entrypoints, evidence, extract, gate, graph, linking, modules, patterns, prefix, reports, risks, rules, surface, walk
 from .operators.evidence import Budget
 from .sources import files as sources
 from .storage import materialize, union_all
@@ -212,9 +212,8 @@ class Engine:
         kept = walked.where("reason is null").drop("reason")
         if b.max_files is not None or b.max_total_bytes is not None:
             # the first files by path, at most max_files of them, as far as their bytes go
-            sizes = kept.select("path", "size").orderBy("path").limit(b.max_files) if b.max_files is not None else kept.select("path", "size")
-            total = F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-            within = sizes.withColumn("total", total).where(F.col("total") <= b.max_total_bytes) if b.max_total_bytes is not None else sizes
+            sizes = prefix.running(kept.select("path", "size"), [], ["path"], {"n": F.lit(1).cast("bigint"), "total": F.col("size")})
+            within = sizes.where((F.col("n") <= (b.max_files if b.max_files is not None else 1 << 62)) & (F.col("total") <= (b.max_total_bytes if b.max_total_bytes is not None else 1 << 62)))
             names = within.select("path", F.lit(True).alias("in"))
             walked = walked.join(names, "path", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("in").isNull(), "budget"))).drop("in")
             kept = kept.join(names.select("path"), "path", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
+
 
 def bands(rows: DataFrame, confidence: str = "confidence", high: float = 0.8, mid: float = 0.5) -> DataFrame:
     """How many rows are of high, middling and low confidence."""
@@ -25,8 +27,7 @@ def neighbours(edges: DataFrame, node: str = "a", other: str = "b") -> DataFrame
 
 def take_while(rows: DataFrame, group: list[str], order: list[str | Column], size: str, most: int) -> DataFrame:
     """The first rows of each group whose sizes together stay within a budget."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= most)
+    return prefix.running(rows, group, order, {"running": F.col(size)}).where(F.col("running") <= most)
 
 
 def capped_files(ranges: DataFrame, group: str, max_files: int, per_file: int) -> DataFrame:

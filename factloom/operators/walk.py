@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import files as ff
+from . import prefix
 
 
 def skip_reason(path: Column, size: Column, text: Column, dirs: list[str] = ff.IGNORED_DIRS, extensions: list[str] = ff.IGNORED_EXTENSIONS, max_bytes: int = 2 << 20, printable: float = ff.PRINTABLE_SHARE) -> Column:
@@ -31,9 +32,8 @@ def skip_counts(rows: DataFrame, samples: int = 20) -> DataFrame:
 
 
 def within_budget(files: DataFrame, root: str, max_files: int, max_bytes: int) -> DataFrame:
-    """files with the running count and bytes of their root in path order, and whether both are in budget."""
-    order = Window.partitionBy(root).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    files = files.withColumn("n", F.count("*").over(order)).withColumn("total", F.sum("size").over(order))
+    """Root, path and size of files, with the running count and bytes of their root in path order, and whether both are in budget."""
+    files = prefix.running(files.select(root, "path", "size"), [root], ["path"], {"n": F.lit(1).cast("bigint"), "total": F.col("size")})
     return files.withColumn("included", (F.col("n") <= max_files) & (F.col("total") <= max_bytes))
 
 

@@ -30,7 +30,7 @@ def event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {b.FILES}, r AS (SELECT source, path, size, sum(size) OVER (PARTITION BY source ORDER BY size, path ROWS UNBOUNDED PRECEDING) AS running FROM files) SELECT source, path, CAST(running AS BIGINT) AS running FROM r WHERE running <= 12000")
 def drilldown_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of each root, smallest first, within a total of characters."""
-    return reports.take_while(b.files(spark, sf_dir), ["source"], ["size", "path"], "size", 12000).select("source", "path", "running")
+    return reports.take_while(b.files(spark, sf_dir).select("source", "path", "size"), ["source"], ["size", "path"], "size", 12000).select("source", "path", "running")
 
 
 @query(
