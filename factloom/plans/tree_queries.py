@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, jsontree, modules
+from ..operators import extract, jsontree, merkle, modules
 from . import bindings as b
 from .registry import query
 
@@ -59,3 +59,39 @@ def module_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = modules.with_prefixes(extract.express_routes(lines), modules.mounted(lines, files), "path", "route")
     page = F.regexp_extract("path", "^p([0-9]+)/", 1).cast("bigint")
     return found.select(page.alias("page_id"), "route", F.split("path", "/")[1].alias("part"))
+
+
+# Documents as files in folders by source and language; in the second tree some have another name or text.
+_TREE = "concat(source, '/', coalesce(lang, 'none'), '/', doc_id, '.txt')"
+_MOVED = "concat(source, '/', coalesce(lang, 'none'), '/', doc_id, CASE WHEN doc_id % 60 = 2 THEN '.md' ELSE '.txt' END)"
+_LEAF = "SELECT {path} AS path, min({digest}) AS digest FROM documents GROUP BY 1"
+_TEXT, _OTHER = "sha256(coalesce(text, ''))", "CASE WHEN doc_id % 40 = 3 THEN sha256('other') ELSE sha256(coalesce(text, '')) END"
+_FOLDERS = """{n}1 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, left(sha256(regexp_extract(path, '[^/]*$')), 3) AS b, string_agg(concat('file ', regexp_extract(path, '[^/]*$'), ' ', digest), chr(10) ORDER BY encode(regexp_extract(path, '[^/]*$'))) AS t FROM {n}0 GROUP BY 1, 2),
+{n}2 AS (SELECT path, sha256(string_agg(concat(b, ' ', sha256(t)), chr(10) ORDER BY b)) AS digest FROM {n}1 GROUP BY path),
+{n}3 AS (SELECT split_part(path, '/', 1) AS path, left(sha256(split_part(path, '/', 2)), 3) AS b, string_agg(concat('folder ', split_part(path, '/', 2), ' ', digest), chr(10) ORDER BY split_part(path, '/', 2)) AS t FROM {n}2 GROUP BY 1, 2),
+{n}4 AS (SELECT path, sha256(string_agg(concat(b, ' ', sha256(t)), chr(10) ORDER BY b)) AS digest FROM {n}3 GROUP BY path),
+{n}5 AS (SELECT left(sha256(path), 3) AS b, string_agg(concat('folder ', path, ' ', digest), chr(10) ORDER BY path) AS t FROM {n}4 GROUP BY 1),
+{n} AS (SELECT path, true AS is_file, digest FROM {n}0 UNION ALL SELECT path, false, digest FROM {n}2 UNION ALL SELECT path, false, digest FROM {n}4 UNION ALL SELECT '', false, sha256(string_agg(concat(b, ' ', sha256(t)), chr(10) ORDER BY b)) FROM {n}5)"""
+_OLD = f"o0 AS ({_LEAF.format(path=_TREE, digest=_TEXT)}), {_FOLDERS.format(n='o')}"
+_NEW = f"n0 AS ({_LEAF.format(path=_MOVED, digest=_OTHER)}), {_FOLDERS.format(n='n')}"
+
+
+def _tree(spark: SparkSession, sf_dir: str, text: str, path: str) -> DataFrame:
+    docs = b.table(spark, sf_dir, "documents")
+    return merkle.digests(docs.select(F.lit("").alias("top"), F.expr(path).alias("path"), F.sha2(F.expr(text).cast("binary"), 256).alias("sha256")), "top").drop("root")
+
+
+@query(f"WITH {_OLD} SELECT path, is_file, digest FROM o")
+def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of every folder, from its children's, and of the whole tree."""
+    return _tree(spark, sf_dir, "coalesce(text, '')", _TREE)
+
+
+@query(f"""WITH {_OLD}, {_NEW} SELECT coalesce(o.path, n.path) AS path, coalesce(o.is_file, n.is_file) AS is_file, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS state
+    FROM o FULL JOIN n ON o.path = n.path AND o.is_file = n.is_file WHERE o.digest IS DISTINCT FROM n.digest""")
+def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and folders that differ between two trees."""
+    old = _tree(spark, sf_dir, "coalesce(text, '')", _TREE)
+    new = _tree(spark, sf_dir, "CASE WHEN doc_id % 40 = 3 THEN 'other' ELSE coalesce(text, '') END", _MOVED)
+    top = F.lit("").alias("root")
+    return merkle.changed(old.select(top, "*"), new.select(top, "*")).drop("root")
