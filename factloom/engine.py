@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
-from .operators import entrypoints, evidence, extract, gate, graph, linking, modules, patterns, prefix, reports, risks, rules, surface, walk
+from .operators import drilldown, entrypoints, evidence, extract, gate, graph, linking, modules, patterns, prefix, reports, risks, rules, surface, walk
 from .operators.evidence import Budget
 from .sources import files as sources
 from .storage import materialize, union_all
@@ -95,16 +95,21 @@ class Scan:
         left = calls.join(told.select("caller_id"), "caller_id", "left_anti").select(F.lit("caller").alias("side"), F.col("caller_id").alias("id"), "file")
         return left.union(ends.join(told.select("endpoint_id"), "endpoint_id", "left_anti").select(F.lit("endpoint").alias("side"), F.col("endpoint_id").alias("id"), "file"))
 
-    def patterns(self) -> DataFrame:
-        """All pattern rules; hints come from the findings of a path: their rule, snippet and concept."""
+    @functools.cached_property
+    def _patterns(self) -> DataFrame:
         ev = self.events
         snippets = self.evidence().select(F.col("eid").alias("primary_eid"), "snippet")
         hints = self.findings.join(snippets, "primary_eid", "left").select("path", F.concat_ws(" ", "rule_id", "snippet", "concept").alias("text"), F.col("concept"))
         apart = self.unmatched().groupBy().agg(F.count_if(F.col("side") == "caller").alias("callers"), F.count_if(F.col("side") == "endpoint").alias("endpoints"))
-        return union_all([
+        found = union_all([
             patterns.transaction_missing(ev), patterns.db_write_outside_tx(ev), patterns.queue_without_consumer(ev.where("kind = 'queue.dispatch'"), ev.where("kind = 'queue.consume'")),
             patterns.write_without_guard(ev, hints), patterns.hot_write_path(ev, hints), patterns.cross_language_unmatched(apart),
-        ]).distinct().orderBy(F.desc(risks.severity_rank(F.col("severity"))), "pattern_type", "pattern_id")
+        ]).distinct()
+        return materialize(found, "patterns")
+
+    def patterns(self) -> DataFrame:
+        """All pattern rules; hints come from the findings of a path: their rule, snippet and concept."""
+        return self._patterns.orderBy(F.desc(risks.severity_rank(F.col("severity"))), "pattern_type", "pattern_id")
 
     def risks(self, gate_status: str = "pass") -> DataFrame:
         """Patterns as risks, the most pressing first."""
@@ -113,6 +118,17 @@ class Scan:
         items = self.patterns().withColumn("risk_id", F.col("pattern_id")).withColumn("priority_score", score)
         return risks.rank(items).orderBy(F.desc("priority_score"), "severity", "status", "risk_id")
 
+    def _refs(self) -> DataFrame:
+        """(target, path, start_line, end_line, confidence): the events that each pattern rests on."""
+        named = self.patterns().select(F.col("pattern_id").alias("target"), F.explode(F.split("support", ",")).alias("event_id")).distinct()
+        return named.join(self._all_events.select("event_id", "path", "start_line", "end_line", "confidence"), "event_id").drop("event_id")
+
+    def drilldowns(self, gate_status: str = "pass", limits: drilldown.Limits = drilldown.Limits(), least: str = "medium", always: bool = False, most: int = 5) -> DataFrame:
+        """Risks with what is to be read of the sources: (.., drilled, snippets, trace)."""
+        items = self.risks(gate_status)
+        rows = drilldown.with_packs(items, self._refs(), self.files.select("path", "content"), limits, least, always, most)
+        return rows.orderBy(F.desc("priority_score"), "severity", "status", "risk_id")
+
     def entrypoints(self) -> DataFrame:
         """How the project is started, the surest first."""
         return entrypoints.find(self.files).orderBy(F.desc("confidence"), "kind", "title", "path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ def innermost(outer: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:
     return _pairs(outer, inner, keys).groupBy("inner_id").agg(best.alias("b")).select("inner_id", F.col("b.outer_id").alias("outer_id"))
 
 
-def merged(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Intervals (seq, a, e) of each group merged into islands where the next begins at most gap after the end so far."""
+def merged(rows: DataFrame, keys: list[str], gap: int, also: Sequence[Column] = ()) -> DataFrame:
+    """Intervals (seq, a, e) of each group merged into islands where the next begins at most gap after the end so far; also: more aggregates of an island's intervals."""
     order = Window.partitionBy(*keys).orderBy("a", "e", "seq")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.when(before.isNull() | (F.col("a") > before + gap), 1).otherwise(0))
     rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_island").agg(F.min("a").alias("start_line"), F.max("e").alias("end_line"), F.count("*").alias("n")).drop("_island")
+    return rows.groupBy(*keys, "_island").agg(F.min("a").alias("start_line"), F.max("e").alias("end_line"), F.count("*").alias("n"), *also).drop("_island")

@@ -28,6 +28,14 @@ def scan(spark, tree):
     return Engine(spark, budget=Budget(max_file_bytes=4000)).scan(str(tree))
 
 
+def test_drilldowns(scan):
+    rows = scan.drilldowns(always=True, most=9).collect()
+    assert {r["risk_id"] for r in rows} == {r["pattern_id"] for r in scan.patterns().collect()}
+    assert all(r["drilled"] == (r["status"] == "suspected" and r["severity"] != "low") for r in rows)
+    assert any(r["snippets"] for r in rows) == any(r["drilled"] for r in rows)
+    assert all(s["snippet"] and s["path"] for r in rows for s in r["snippets"] or [])
+
+
 def test_scan(spark, tree, scan):
     assert {r["language"] for r in scan.findings.collect()} == {"python", "java", "typescript", "sql", "node"}
     found = {(r["pattern_type"], r["path"], r["status"]) for r in scan.patterns().collect()}
