@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import events as fe
 from ..operators import patterns as op
 from ..operators import risks, spans
+from ..streaming import incremental
 from . import bindings as b
 from .registry import query
 
@@ -263,3 +264,13 @@ def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).groupBy("kind", "path").agg(F.count("*").alias("n"))
     return spans.first_of(rows, ["kind"], [F.desc("n"), "path"], 3).select("kind", "path", "n")
+
+
+@query(
+    f"""WITH {b.EVENTS} SELECT d.event_id AS dispatch_id, d.user_id, c.event_id AS consume_id FROM ev d LEFT JOIN ev c ON d.user_id = c.user_id AND c.kind = 'db.transaction' AND c.ts BETWEEN d.ts AND d.ts + INTERVAL 6 HOUR WHERE d.kind = 'queue.dispatch'"""
+)
+def handled_dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dispatches with what consumed them within six hours, or nothing."""
+    ev = b.events(spark, sf_dir)
+    rows = incremental.handled(ev.where("kind = 'queue.dispatch'"), ev.where("kind = 'db.transaction'"), ["user_id"], within=6 * 3600)
+    return rows.select("dispatch_id", "user_id", "consume_id")

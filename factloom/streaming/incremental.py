@@ -13,6 +13,39 @@ def new_files(spark: SparkSession, folder: str, schema: str = "path string, cont
     return spark.readStream.schema(schema).parquet(folder).dropDuplicates(["path", "sha256"])
 
 
+def distinct_events(events: DataFrame, late: str = "1 hour", key: str = "event_id") -> DataFrame:
+    """The first event of each key.  On a stream, keys are forgotten once the watermark is past them, so the state is bounded by
+    the events of that stretch: a copy that comes later than late after its twin's time passes again;
+    events behind the watermark are dropped, from the second batch after it moved past them."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+
+
+def handled(dispatched: DataFrame, consumed: DataFrame, key: list[str], within: int = 1800, late: str = "10 minutes", keep_unhandled: bool = True) -> DataFrame:
+    """Dispatches (event_id, ts, ..key) with every consumption of the same key from their own time to within seconds after it.
+
+    (dispatch_id, dispatched_at, ..key, consume_id, consumed_at), the last two null where nothing consumed it and
+    keep_unhandled.  Null keys meet nothing.  On streams, both sides' rows are kept only as long as the interval and the
+    watermarks (late) call for, and a dispatch is told unhandled once no consumption of it can come any more; rows later
+    than late are dropped.  On tables the result is that of the same rows in time.  Times are dealt into stretches of within
+    seconds, so a key with very many events is spread over them.
+    """
+    d = dispatched.select(F.col("event_id").alias("dispatch_id"), F.col("ts").cast("timestamp").alias("dispatched_at"), *key)
+    c = consumed.select(F.col("event_id").alias("consume_id"), F.col("ts").cast("timestamp").alias("consumed_at"), *(F.col(k).alias(f"_c_{k}") for k in key))
+    stretch = lambda at: F.floor(F.unix_seconds(at) / within)
+    d = d.withColumn("_stretch", stretch("dispatched_at"))
+    # what is consumed now was dispatched in this stretch or the one before
+    c = c.withColumn("_c_stretch", F.explode(F.array(stretch("consumed_at"), stretch("consumed_at") - 1)))
+    if d.isStreaming:
+        d = d.withWatermark("dispatched_at", late)
+    if c.isStreaming:
+        c = c.withWatermark("consumed_at", late)
+    same = (F.col("consumed_at") >= F.col("dispatched_at")) & (F.col("consumed_at") <= F.col("dispatched_at") + F.expr(f"interval {within} seconds")) & (F.col("_stretch") == F.col("_c_stretch"))
+    for k in key:
+        same = same & (F.col(k) == F.col(f"_c_{k}"))
+    return d.join(c, same, "left_outer" if keep_unhandled else "inner").select("dispatch_id", "dispatched_at", *key, "consume_id", "consumed_at")
+
+
 def scan_into(stream: DataFrame, detect: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Runs a detector over what is new and appends its findings, each batch under its own number, so a retried batch replaces itself."""
 
