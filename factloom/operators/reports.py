@@ -58,9 +58,9 @@ def sarif(findings: DataFrame) -> DataFrame:
     return findings.select("fp", F.to_json(result).alias("result"))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """Artifacts (kind, path, bytes, sha256) by kind and path."""
-    kind = F.when(F.col("path").endswith(".en"), "report").otherwise("other")
+def manifest(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Artifacts (kind, path, bytes, sha256); kinds: what the end of a path says of it, the first that fits, else other."""
+    kind = F.coalesce(*(F.when(F.col("path").endswith(end), name) for end, name in kinds.items()), F.lit("other"))
     return files.select(kind.alias("kind"), "path", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

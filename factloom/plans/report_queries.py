@@ -72,7 +72,7 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {b.FILES} SELECT CASE WHEN path LIKE '%.en' THEN 'report' ELSE 'other' END AS kind, path, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM files")
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.manifest(b.files(spark, sf_dir))
+    return reports.manifest(b.files(spark, sf_dir), {".en": "report"})
 
 
 @query(
