@@ -47,7 +47,9 @@ class Scan:
 
     @functools.cached_property
     def _surface(self) -> DataFrame:
-        snippets = self._evidence.select(F.col("eid").alias("primary_eid"), "snippet")
+        # only finds that lack a method or a route are looked up in their files
+        bare = self.findings.where("concept = 'API' and (coalesce(method, '') = '' or coalesce(route, '') = '')")
+        snippets = evidence.evidence_of(bare, self.files, self.budget).select(F.col("eid").alias("primary_eid"), "snippet")
         return materialize(surface.endpoints(self.findings.join(snippets, "primary_eid", "left")), "surface")
 
     @functools.cached_property
@@ -235,6 +237,9 @@ class Engine:
             kept = kept.join(names.select("path"), "path", "left_semi")
         if b.max_lines is not None:
             kept = kept.withColumn("content", F.substring_index("content", "\n", b.max_lines))
+        # written once, in folders by the rules that see a file, so that each detector reads its own files alone
+        # dealt by path first: few large input files would leave the parsing to few tasks
+        kept = materialize(kept.repartition("path").withColumn("seen", rules.seen_by(F.col("path"), self.rules)), "files", "seen")
         if base is None:
             found = self._detect(kept)
         else:
@@ -244,10 +249,10 @@ class Engine:
         found = materialize(found, "found")
         order = ["path", "start_line", "rule_id", "kind", "fid"]
         findings = found if b.max_findings is None else materialize(found.orderBy(*order).limit(b.max_findings), "findings")
-        return Scan(kept, findings, walked.select("path", "size", "reason"), found, b)
+        return Scan(kept.drop("seen"), findings, walked.select("path", "size", "reason"), found, b)
 
     def _detect(self, files: DataFrame) -> DataFrame:
-        return evidence.with_ids(rules.detect(files.select("path", "content"), self.rules))
+        return evidence.with_ids(rules.detect(files.select("path", "content", "seen"), self.rules))
 
     def query(self, name: str, tables: str) -> DataFrame:
         """A registered query over a folder of tables."""

@@ -74,6 +74,11 @@ def sees(path: Column, globs: Sequence[str], exclude: Sequence[str] = ()) -> Col
     return seen & ~one_of(exclude)
 
 
+def seen_by(path: Column, rules: Sequence[ScanRule]) -> Column:
+    """The places of the rules that see a path, as in _0_7_; _ where none does."""
+    return F.concat(F.lit("_"), *(F.when(sees(path, r.globs, r.exclude), f"{k}_").otherwise("") for k, r in enumerate(rules)))
+
+
 # What a kind of event is called as a concept.
 CONCEPT_OF = {"api": "API", "db.transaction": "Transaction", "db": "DB", "queue": "Queue", "cache": "Cache"}
 
@@ -180,6 +185,7 @@ DETECTORS = {
 
 
 def detect(files: DataFrame, rules: Sequence[ScanRule] = DEFAULT_RULES) -> DataFrame:
-    """What all rules find in files (path, content), in the form of FOUND."""
-    out = [rows for r in rules for rows in DETECTORS[r.kind](files.where(sees(F.col("path"), r.globs, r.exclude)), r)]
+    """What all rules find in files (path, content), in the form of FOUND.  Where files have seen_by of the same rules, as a column seen, that is taken."""
+    own = lambda k, r: F.col("seen").contains(f"_{k}_") if "seen" in files.columns else sees(F.col("path"), r.globs, r.exclude)
+    out = [rows for k, r in enumerate(rules) for rows in DETECTORS[r.kind](files.where(own(k, r)).select("path", "content"), r)]
     return union_all(out) if out else files.sparkSession.createDataFrame([], FOUND)

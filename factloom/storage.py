@@ -20,10 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read back: computed once, and later plans start from it."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read back: computed once, and later plans start from it.
+
+    by: a column of few values, none null or empty, each in a folder of its own; a filter on it reads only those that fit.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.engine import Engine
+from factloom.operators import rules
 from factloom.operators.evidence import UNLIMITED, Budget
 from factloom.operators.rules import ScanRule, glob_regex, sees
 from factloom.sources import files as sources
@@ -110,3 +112,16 @@ def test_globs(spark):
 def test_cases(spark, tmp_path):
     (tmp_path / "cases.jsonl").write_text('{"case_id": "c1", "concept": "API", "level": 2}\nnot json\n{"case_id": "c2"}\n')
     assert sorted(r["case_id"] for r in sources.read_cases(spark, str(tmp_path / "cases.jsonl")).collect()) == ["c1", "c2"]
+
+
+def test_files_are_written_once_and_each_detector_reads_its_own(spark):
+    files = spark.createDataFrame([("a.py", "x = 1"), ("t.sql", "BEGIN;\nCOMMIT;"), ("b.ts", "fetch('/x')"), ("readme", "none")], "path string, content string")
+    files = files.selectExpr("path", "content", "cast(length(content) as bigint) AS size", "sha2(content, 256) AS sha256")
+    scan = Engine(spark).scan_files(files)
+    assert scan.files.columns == files.columns and sorted(scan.files.collect()) == sorted(files.collect())
+    kept = scan.files.inputFiles()
+    assert kept and all("/files-" in f and "/seen=_" in f for f in kept)
+    seen = files.select("path", rules.seen_by(F.col("path"), rules.DEFAULT_RULES).alias("seen"), *[rules.sees(F.col("path"), r.globs, r.exclude).alias(f"r{k}") for k, r in enumerate(rules.DEFAULT_RULES)])
+    for row in seen.collect():
+        assert [f"_{k}_" in row["seen"] for k in range(len(rules.DEFAULT_RULES))] == list(row[2:])
+    assert {(r["path"], r["rule_id"]) for r in scan.findings.collect()} == {("t.sql", "db.sql_tx"), ("b.ts", "source.script")}
