@@ -13,15 +13,13 @@
    below the limit) go; the rest are confirmed on the full sets.  A first round confirms one
    candidate of each class, a second those that still join two components.
 4. In a last round every region is looked at again: all its pairs of different components
-   are candidates in regions of up to CROWD classes, and in larger ones that have at most
-   LOOSE such pairs for each class; others are divided by the next DEPTH values, down to four
-   times DEPTH.  Classes of regions that had to be divided meet once more, where they share a
-   shingle that at most RARE of them have.
+   are candidates in regions of up to CROWD classes.  Classes of larger regions are compared
+   exactly, all with all: prefixes of their sets, the rarest shingles first, meet by equality,
+   and no two sets that are alike enough have prefixes that do not.
 5. Components of confirmed links, by star contraction.
 
 A link at the limit (0.75) has a common region in one tree with chance 0.75^4 = 0.32, so in
-none of 36 trees once in a million times; where its regions are divided, in none with 8
-common values in 2 % of cases, and is then found by a rare shingle that both have.
+none of 36 trees once in a million times.
 
 Defined results: a null or empty text, or one of white space only, has no shingles, is
 linked with nothing and is kept; fewer than five words count as one shingle; rows of one
@@ -44,7 +42,7 @@ from .idfilter import IdFilter, maybe_in
 from .storage import materialize, small_batches
 from .textcore import Texts, Words, joined_hash, lane, mix, release, sliced, window_hashes
 
-SHINGLE, DEPTH, TREES, CROWD, LOOSE, RARE = 5, 4, 36, 64, 8, 16
+SHINGLE, DEPTH, TREES, CROWD = 5, 4, 36, 64
 PERCENT = 75
 
 
@@ -188,47 +186,45 @@ def candidates(classes: DataFrame, trees: int, depth: int, crowd: int) -> tuple[
 
 
 def across_regions(forest_rows: DataFrame, root: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of classes of different components that share a region, in regions deep enough not to have too
-    many; and the classes (doc_id, root) of first regions that were divided."""
-    rows = forest_rows.select("id", *[f"k{k}" for k in range(1, 5)]).join(root.select(F.col("node").alias("id"), "root"), "id", "left")
+    """Distinct pairs (a < b) of classes of different components that share a region of up to crowd classes; and the classes
+    (doc_id) of larger regions of several components, which prefix_meetings compares."""
+    rows = forest_rows.select("id", F.col("k1").alias("region")).join(root.select(F.col("node").alias("id"), "root"), "id", "left")
     rows = rows.withColumn("root", F.coalesce("root", "id"))
-    pairs = None
-    for level in range(1, 5):
-        rows = rows.withColumn("region", F.col(f"k{level}"))
-        by_root = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
-        region = by_root.groupBy("region").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "root")).alias("top"))
-        region = region.withColumn("pairs", (F.col("size") * F.col("size") - F.col("same")) / 2).where("pairs > 0")
-        region = materialize(region.select("region", F.col("top.root").alias("top"), ((F.col("size") <= crowd) | (F.col("pairs") <= LOOSE * F.col("size"))).alias("fits")), "regions")
-        rows = rows.join(region, "region")
-        if level < 4:
-            rows = materialize(rows, "mixed")
-        fit = rows.where("fits")
-        # every pair has an end outside the region's largest component, and those are few
-        few = fit.where("root <> top").select("region", F.col("id").alias("x"), F.col("root").alias("rx"))
-        met = fit.select("region", F.col("id").alias("y"), "root").join(few, "region").where("root <> rx").select("x", "y")
-        pairs = met if pairs is None else pairs.union(met)
-        rows = rows.where("not fits").drop("fits", "top")
-        if level == 1:
-            divided = rows.select(F.col("id").alias("doc_id"), "root").distinct()
-        if level < 4 and not rows.take(1):
-            break
-    return _ordered(pairs), divided
-
-
-def rare_meetings(texts: DataFrame, root: DataFrame, rare: int) -> DataFrame:
-    """Distinct pairs (a < b) of different components among texts (doc_id, text) that share a shingle which at most rare of
-    them have.  root: (doc_id, root).  Frequencies are counted first, so a common shingle gathers no rows."""
+    by_root = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
+    region = by_root.groupBy("region").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    rows = materialize(rows.join(region.select("region", F.col("top.root").alias("top"), (F.col("size") <= crowd).alias("fits")), "region"), "mixed")
+    fit = rows.where("fits")
+    # every pair has an end outside the region's largest component, and those are few
+    few = fit.where("root <> top").select("region", F.col("id").alias("x"), F.col("root").alias("rx"))
+    met = fit.select("region", F.col("id").alias("y"), "root").join(few, "region").where("root <> rx").select("x", "y")
+    return _ordered(met), rows.where("not fits").select(F.col("id").alias("doc_id")).distinct()
+
+
+def prefix_meetings(texts: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of different components among texts (doc_id, text), with every pair that alike.  root: (doc_id, root).
+
+    A set's shingles are put in order of how many of texts have them.  Two sets that alike share one of the first
+    n - ceil(n * percent / 100) + 1 of both, and at the first that they share enough are left in both; common shingles
+    come last, so they gather only those sets that have few others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             value, at = shingle_sets(Texts(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(at)))), pa.array(value.view(np.int64))], names=["doc_id", "shingle"])
+            n = np.diff(at)
+            cols = [b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(value.view(np.int64)), pa.array(np.repeat(n, n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shingle", "size"])
 
-    rows = materialize(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long"), "shingles")
-    few = rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n").between(2, rare)).select("shingle")
-    met = materialize(rows.join(few, "shingle").join(root, "doc_id"), "rare")
-    x, y = (met.select("shingle", F.col("doc_id").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-    return x.join(y, "shingle").where("a < b and ra <> rb").select("a", "b").distinct()
+    rows = materialize(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long, size long"), "shingles")
+    shared = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
+    # those that no other set has come first and meet nothing
+    mine = Window.partitionBy("doc_id")
+    shared = shared.withColumn("place", F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "shingle")))
+    first = shared.where(F.expr(f"place <= size - ({percent} * size + 99) div 100 + 1")).select("doc_id", "shingle", "size", "place")
+    met = materialize(first.join(root, "doc_id"), "prefixes")
+    x, y = (met.select("shingle", F.col("doc_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "size", "place"))) for c in ("a", "b"))
+    enough = f"{100 + percent} * (1 + least(size_a - place_a, size_b - place_b)) >= {percent} * (size_a + size_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    return x.join(y, "shingle").where(f"a < b and root_a <> root_b and {enough}").select("a", "b").distinct()
 
 
 def agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -313,7 +309,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, depth:
     if divided.take(1):
         now = divided.select("doc_id").join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         text = texts(divided.select("doc_id"))
-        rest = likely(rare_meetings(text, now, RARE).join(pairs.select("a", "b").union(more.select("a", "b")), ["a", "b"], "left_anti"))
+        rest = likely(prefix_meetings(text, now, percent).join(pairs.select("a", "b").union(more.select("a", "b")), ["a", "b"], "left_anti"))
         if rest.take(1):
             links = materialize(links.union(confirmed(rest, text, percent)), "links")
             root = materialize(components(links), "roots")

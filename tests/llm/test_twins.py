@@ -79,3 +79,11 @@ def test_twins_over_one_template(spark):
     wrong = sum(got[i] != c for i, c in enumerate(want))
     print("rows with another component:", wrong)
     assert wrong < 0.05 * len(want)
+
+
+def test_divided_regions_lose_no_link(spark):
+    texts = twins(400, random.Random(7))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.clusters(docs).collect()}
+    want, _ = expected(texts)
+    assert [i for i in range(len(texts)) if got[i] != want[i]] == []
