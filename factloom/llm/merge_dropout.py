@@ -21,8 +21,10 @@ logarithm of it; other columns are not looked at; an empty table gives an empty
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +75,7 @@ class DropoutEncoder(UnitEncoder):
             elif sp.is_control(i) or sp.is_unknown(i):
                 table.append(b"")
             else:
-                self.piece[p] = (i, sp.get_score(i))
+                self.piece[p] = (i, -sp.get_score(i))
                 table.append(p.replace(_BLANK, " ").encode())
         self.table = np.frombuffer(b"".join(table), dtype=np.uint8)
         self.size = np.array([len(x) for x in table])
@@ -119,65 +121,74 @@ class DropoutEncoder(UnitEncoder):
         return at + 1, n - 1  # the pool has each unit's number of steps before its ids
 
     def units(self, units: list[bytes], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        # very many small lists and no cycles: nothing for the collector to look for
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._units(units, variants)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _units(self, units: list[bytes], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
         found = []
         for u, v in zip(units, variants, strict=True):
             rest = v & int(_FIRST) - 1
             if len(u) <= SHORT:
-                ids, steps = self.agenda(u.decode(), v != rest, lambda k, m=rest: m >> k & 1)
+                ids, steps = self.agenda(u.decode(), v != rest, rest)
             else:
                 ids, steps = self.agenda(u.decode(), v != rest, lambda k, m=rest << 1: _draw(m, k) < self.limit)
             found.append([steps & 0xFFFFFFFF, *ids])
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(sizes.sum())), sizes
 
-    def agenda(self, unit: str, first: bool, skip) -> tuple[list[int], int]:
-        """Ids of one unit and how many steps its agenda took; first: it begins a text; skip(k): whether step k skips."""
-        text = (_BLANK if first else "") + unit.replace(_BLANK, _ITSELF).replace(" ", _BLANK)
+    def agenda(self, unit: str, first: bool, skips) -> tuple[list[int], int]:
+        """Ids of one unit and how many steps its agenda took; first: it begins a text; skips: a number, bit k of which says whether step k skips, or a function of k."""
+        text = unit.replace(_BLANK, _ITSELF).replace(" ", _BLANK)
+        if first:
+            text = _BLANK + text
         n, get = len(text), self.piece.get
         # symbols are spans of text, linked; a span is named by where it begins
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(a: int) -> None:
-            b = end[a]
-            if b < n:
-                hit = get(text[a : end[b]])
-                if hit is not None:
-                    heap.append((-hit[1], a, b, end[b]))
-
-        for a in range(n - 1):
-            offer(a)
+        heap = [(hit[1], a, a + 1, a + 2) for a, hit in enumerate(map(get, map(operator.add, text, text[1:]))) if hit is not None]
         heapq.heapify(heap)
-        push = heapq.heappush
-        step = 0
+        push, pop = heapq.heappush, heapq.heappop
+        step, bits = 0, skips if isinstance(skips, int) else None
         while heap:
-            _, a, b, c = heapq.heappop(heap)
+            _, a, b, c = pop(heap)
             if end[a] != b or end[b] != c:
                 continue  # one of the two has been merged since
             k, step = step, step + 1
-            if skip(k):
-                continue
+            if bits is None:
+                if skips(k):
+                    continue
+            elif bits:
+                skip, bits = bits & 1, bits >> 1
+                if skip:
+                    continue
             end[a], end[b] = c, 0
             if c < n:
                 before[c] = a
-                hit = get(text[a : end[c]])
+                d = end[c]
+                hit = get(text[a:d])
                 if hit is not None:
-                    push(heap, (-hit[1], a, c, end[c]))
+                    push(heap, (hit[1], a, c, d))
             p = before[a]
             if p >= 0:
                 hit = get(text[p:c])
                 if hit is not None:
-                    push(heap, (-hit[1], p, a, c))
+                    push(heap, (hit[1], p, a, c))
         out: list[int] = []
         a = 0
         while a < n:
-            p = text[a : end[a]]
+            c = end[a]
+            p = text[a:c]
             hit = get(p)
             if hit is not None:
                 out.append(hit[0])
             else:
                 out += [self.byte[x] for x in p.replace(_ITSELF, _BLANK).encode()]
-            a = end[a]
+            a = c
         return out, step
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
