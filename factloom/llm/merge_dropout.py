@@ -7,7 +7,8 @@ skips it where a keyed hash of (seed, doc_id, the unit's place in the text, k) f
 the dropout rate, and then it comes again only with another neighbour.  Every occurrence of
 a unit has draws of its own.  What the agenda gives depends on the unit and on which steps
 skip alone, so a worker remembers results by (unit, steps skipped), within a fixed size, and
-works an agenda out only where it has not seen that combination.
+works an agenda out only where it has not seen that combination.  Agendas of units of up to
+WIDE characters are worked out many at a time: step k of all of them is one round over arrays.
 
 Blanks become U+2581 and a text begins with one more, as in the model; a U+2581 of the text
 itself and characters without a piece become byte pieces.  So decoding gives the very text.
@@ -39,6 +40,8 @@ END_ID = 2
 _BLANK = "▁"
 #: Units of up to this many bytes have at most 60 steps: each of up to 20 pairs, and two more for each merge.
 SHORT = 20
+#: Characters of a unit whose agenda is worked out beside others', and how many of them at a time.
+WIDE, ABREAST = 64, 4096
 _FIRST = np.uint64(1 << 63)
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -57,6 +60,63 @@ def _draw(key: int, step: int) -> int:
     return (x ^ x >> 31) >> 16 * (step & 3) & 0xFFFF
 
 
+_BASE = np.uint64(0x9FB21C651E98DF25)
+_NO_PAIR = np.int32(2**31 - 1)
+
+
+class Pieces:
+    """A model's pieces by the hashes of their characters: a table of open addresses, looked up for many spans at once."""
+
+    BITS = 18
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        self.power = np.ones(WIDE + 2, dtype=np.uint64)
+        self.power[1:] = np.cumprod(np.full(WIDE + 1, _BASE))
+        rank = np.unique([cost for _, cost in pieces.values()], return_inverse=True)[1]
+        # longer pieces are never found among spans of up to WIDE characters and a blank
+        found = [(int(self.prefixes(np.array([[ord(x) for x in p]], dtype=np.uint32))[0, -1]), i, r) for (p, (i, _)), r in zip(pieces.items(), rank.tolist(), strict=True) if len(p) <= WIDE + 1]
+        if len({h for h, _, _ in found}) < len(found):
+            raise ValueError("two pieces of the model have one hash")
+        self.hash, self.id, self.rank = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32), np.zeros(1 << self.BITS, np.int32)
+        if 2 * len(found) > len(self.id):
+            raise ValueError("the model has too many pieces")
+        for h, i, r in found:
+            at = int(self._slot(np.array([h], np.uint64))[0])
+            while self.id[at] >= 0:
+                at = at + 1 & len(self.id) - 1
+            self.hash[at], self.id[at], self.rank[at] = h, i, r
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(_STEP) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    @staticmethod
+    def prefixes(chars: np.ndarray) -> np.ndarray:
+        """Hashes of the first 0, 1, 2, ... characters of each row."""
+        out = np.zeros((len(chars), chars.shape[1] + 1), dtype=np.uint64)
+        for k in range(chars.shape[1]):
+            out[:, k + 1] = out[:, k] * _BASE + (chars[:, k] + np.uint64(1))
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place in the table of each hash, -1 where no piece has it."""
+        at = self._slot(h)
+        out = np.where(self.hash[at] == h, at, -1)
+        out[self.id[at] < 0] = -1
+        left = np.flatnonzero((out < 0) & (self.id[at] >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(self.id) - 1
+            left = left[self.id[at[left]] >= 0]
+            hit = self.hash[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+        return out
+
+    def order(self, h: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """What a pair that begins at a is sorted by in its agenda: its score, then its place; _NO_PAIR if it makes no piece."""
+        at = self.find(h)
+        return np.where(at >= 0, self.rank[at] << 7 | a.astype(np.int32), _NO_PAIR)
+
+
 class DropoutEncoder(UnitEncoder):
     """Encodes and decodes by one model, seed and rate."""
 
@@ -80,6 +140,8 @@ class DropoutEncoder(UnitEncoder):
         self.table = np.frombuffer(b"".join(table), dtype=np.uint8)
         self.size = np.array([len(x) for x in table])
         self.at = np.cumsum(self.size) - self.size
+        self.pieces = Pieces(self.piece)
+        self.bytes = np.array(self.byte, dtype=np.uint32)
         self.limit, self.seed = round(rate * 65536), seed
         self.doc_ids = np.zeros(0, dtype=np.int64)
         self._clear()
@@ -131,16 +193,104 @@ class DropoutEncoder(UnitEncoder):
                 gc.enable()
 
     def _units(self, units: list[bytes], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for u, v in zip(units, variants, strict=True):
-            rest = v & int(_FIRST) - 1
-            if len(u) <= SHORT:
-                ids, steps = self.agenda(u.decode(), v != rest, rest)
-            else:
-                ids, steps = self.agenda(u.decode(), v != rest, lambda k, m=rest << 1: _draw(m, k) < self.limit)
-            found.append([steps & 0xFFFFFFFF, *ids])
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(sizes.sum())), sizes
+        n_bytes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        variant = np.array(variants, dtype=np.uint64)
+        first, rest = variant >= _FIRST, variant & (_FIRST - np.uint64(1))
+        chars = np.frombuffer(b"".join(units).decode().encode("utf-32-le"), dtype=np.uint32)
+        starts = (np.frombuffer(b"".join(units), dtype=np.uint8) & 0xC0) != 0x80
+        upto = np.concatenate([[0], np.cumsum(starts)])[np.concatenate([[0], np.cumsum(n_bytes)])]
+        n_chars = np.diff(upto)
+        sizes, parts = np.zeros(len(units), dtype=np.int64), []
+        order = np.argsort(n_chars, kind="stable")
+        wide = int(np.searchsorted(n_chars[order], WIDE, side="right"))
+        for i in range(0, wide, ABREAST):
+            x = order[i : min(i + ABREAST, wide)]
+            ids, sizes[x] = self.agendas(chars, upto[x], n_chars[x], first[x], rest[x], n_bytes[x] <= SHORT)
+            parts.append((x, ids))
+        for i in order[wide:].tolist():
+            m = int(rest[i]) << 1
+            ids, steps = self.agenda(units[i].decode(), bool(first[i]), lambda k, m=m: _draw(m, k) < self.limit)
+            sizes[i] = len(ids) + 1
+            parts.append((np.array([i]), np.array([steps & 0xFFFFFFFF, *ids], dtype=np.uint32)))
+        at = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), dtype=np.uint32)
+        for x, ids in parts:
+            n = sizes[x]
+            out[np.repeat(at[x] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def agendas(self, chars: np.ndarray, at: np.ndarray, size: np.ndarray, first: np.ndarray, rest: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of steps and the ids of each unit, end to end, and how many values it has: what agenda gives for each of them.
+
+        Unit i is the size[i] characters from at[i] on; rest: bit k says whether step k skips if short, else the key of the draws.
+        """
+        n = size + first
+        w = max(int(n.max()), 1)
+        col = np.arange(w)
+        from_ = at[:, None] + col - first[:, None]
+        text = chars[np.clip(from_, 0, len(chars) - 1)]
+        text = np.where(text == ord(_BLANK), np.uint32(ord(_ITSELF)), np.where(text == 32, np.uint32(ord(_BLANK)), text))
+        text[first, 0] = ord(_BLANK)
+        hashes, power = self.pieces.prefixes(text).ravel(), self.pieces.power
+        # symbols are spans of text, linked; a span is named by where it begins; rows are laid end to end
+        end, before = np.tile(col + 1, (len(n), 1)).ravel(), np.tile(col - 1, (len(n), 1)).ravel()
+        agenda = np.full((len(n), w), _NO_PAIR)
+        row, a = np.nonzero(col + 2 <= n[:, None])
+        p = row * (w + 1) + a
+        agenda[row, a] = self.pieces.order(hashes[p + 2] - hashes[p] * power[2], a)
+        pair = agenda.ravel()
+        steps, key = np.zeros(len(n), dtype=np.int64), np.where(short, rest, rest << np.uint64(1))
+        rows, k = np.arange(len(n)), 0
+        while True:
+            now = agenda[rows]
+            a = now.argmin(axis=1)
+            some = now[np.arange(len(rows)), a] != _NO_PAIR
+            rows, a = rows[some], a[some]
+            if not len(rows):
+                break
+            steps[rows] = k + 1
+            pair[rows * w + a] = _NO_PAIR
+            bits = key[rows] >> np.uint64(k) if k < 63 else np.zeros(len(rows), dtype=np.uint64)
+            skip = (bits & np.uint64(1)) > 0
+            drawn = np.flatnonzero(~short[rows])
+            if len(drawn):
+                word = mix(key[rows[drawn]] + np.uint64((k >> 2) * _STEP & _MASK))
+                skip[drawn] = (word >> np.uint64(16 * (k & 3)) & np.uint64(0xFFFF)) < self.limit
+            k += 1
+            r, a = rows[~skip], a[~skip]
+            line, mark = r * w, r * (w + 1)
+            b = end[line + a]
+            c = end[line + b]
+            end[line + a], end[line + b] = c, 0
+            pair[line + b] = _NO_PAIR
+            more = np.flatnonzero(c < n[r])
+            ra, rc = a[more], c[more]
+            before[line[more] + rc] = ra
+            d = end[line[more] + rc]
+            pair[line[more] + ra] = self.pieces.order(hashes[mark[more] + d] - hashes[mark[more] + ra] * power[d - ra], ra)
+            p = before[line + a]
+            more = np.flatnonzero(p >= 0)
+            p, rc = p[more], c[more]
+            pair[line[more] + p] = self.pieces.order(hashes[mark[more] + rc] - hashes[mark[more] + p] * power[rc - p], p)
+        row, a = np.nonzero((end.reshape(-1, w) > 0) & (col < n[:, None]))
+        c = end[row * w + a]
+        found = self.pieces.find(hashes[row * (w + 1) + c] - hashes[row * (w + 1) + a] * power[c - a])
+        # what is no piece is one character: its bytes
+        char = text[row, a]
+        char = np.where(char == ord(_ITSELF), np.uint32(ord(_BLANK)), char)
+        spread = np.where(found >= 0, 1, 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))
+        sizes = 1 + np.bincount(row, weights=spread, minlength=len(n)).astype(np.int64)
+        out = np.empty(int(sizes.sum()), dtype=np.uint32)
+        out[np.cumsum(sizes) - sizes] = steps
+        to = np.cumsum(spread) - spread + row + 1
+        hit = found >= 0
+        out[to[hit]] = self.pieces.id[found[hit]]
+        lost = np.flatnonzero(~hit)
+        if len(lost):
+            raw = np.frombuffer(char[lost].tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+            m = spread[lost]
+            out[np.repeat(to[lost] - (np.cumsum(m) - m), m) + np.arange(len(raw))] = self.bytes[raw]
+        return out, sizes
 
     def agenda(self, unit: str, first: bool, skips) -> tuple[list[int], int]:
         """Ids of one unit and how many steps its agenda took; first: it begins a text; skips: a number, bit k of which says whether step k skips, or a function of k."""
