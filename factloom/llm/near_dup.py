@@ -207,6 +207,15 @@ def prefix_meetings(texts: DataFrame, root: DataFrame, percent: int) -> DataFram
     n - ceil(n * percent / 100) + 1 of both, and at the first that they share enough are left in both; common shingles
     come last, so they gather only those sets that have few others.
     """
+    return _meetings(texts, root, percent).distinct()
+
+
+#: Shingles of a set that go with each of its prefix, those just before it.
+EARLIER = 8
+
+
+def _meetings(texts: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """The pairs of prefix_meetings, some of them several times: a pair that shares one of the EARLIER shingles before has met there, with more left in both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -219,12 +228,14 @@ def prefix_meetings(texts: DataFrame, root: DataFrame, percent: int) -> DataFram
     shared = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
     # those that no other set has come first and meet nothing
     mine = Window.partitionBy("doc_id")
-    shared = shared.withColumn("place", F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "shingle")))
-    first = shared.where(F.expr(f"place <= size - ({percent} * size + 99) div 100 + 1")).select("doc_id", "shingle", "size", "place")
+    order = mine.orderBy("n", "shingle")
+    shared = shared.withColumn("place", F.col("size") - F.count("*").over(mine) + F.row_number().over(order))
+    shared = shared.withColumn("earlier", F.collect_list("shingle").over(order.rowsBetween(-EARLIER, -1)))
+    first = shared.where(F.expr(f"place <= size - ({percent} * size + 99) div 100 + 1")).select("doc_id", "shingle", "size", "place", "earlier")
     met = materialize(first.join(root, "doc_id"), "prefixes")
-    x, y = (met.select("shingle", F.col("doc_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "size", "place"))) for c in ("a", "b"))
+    x, y = (met.select("shingle", F.col("doc_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "size", "place", "earlier"))) for c in ("a", "b"))
     enough = f"{100 + percent} * (1 + least(size_a - place_a, size_b - place_b)) >= {percent} * (size_a + size_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
-    return x.join(y, "shingle").where(f"a < b and root_a <> root_b and {enough}").select("a", "b").distinct()
+    return x.join(y, "shingle").where(f"a < b and root_a <> root_b and {enough} and not arrays_overlap(earlier_a, earlier_b)").select("a", "b")
 
 
 def agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
