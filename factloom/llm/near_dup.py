@@ -203,36 +203,61 @@ def across_regions(forest_rows: DataFrame, root: DataFrame, crowd: int) -> tuple
 def prefix_meetings(texts: DataFrame, root: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) of different components among texts (doc_id, text), with every pair that alike.  root: (doc_id, root).
 
-    A set's shingles are put in order of how many of texts have them.  Two sets that alike share one of the first
+    A set's shingles are put in order of about how many of texts have them (any one order of all would do).  Two sets that alike share one of the first
     n - ceil(n * percent / 100) + 1 of both, and at the first that they share enough are left in both; common shingles
     come last, so they gather only those sets that have few others.
     """
     return _meetings(texts, root, percent).distinct()
 
 
-#: Shingles of a set that go with each of its prefix, those just before it.
-EARLIER = 8
+#: Shingles of a set that go with each of its prefix, those just before it; log2 of the slots in which texts are counted.
+EARLIER, SLOTS = 8, 20
 
 
-def _meetings(texts: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+def _slot(value: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(value) >> np.uint64(64 - slots)).astype(np.int64)
+
+
+def _commonness(texts: DataFrame, slots: int) -> np.ndarray:
+    """For each slot of shingles how many of texts are in it, as eighths of its logarithm: of a fixed size, and 0 only where no two texts share a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            slot, n = np.unique(_slot(shingle_sets(Texts(b.column("text")))[0], slots), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n, pa.int64())], names=["slot", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = counts.select("slot", F.least(F.floor(8 * F.log2("n")), F.lit(127)).cast("byte").alias("level")).toArrow()
+    level = np.zeros(1 << slots, dtype=np.uint8)
+    level[counts.column("slot").to_numpy()] = counts.column("level").to_numpy()
+    return level
+
+
+def _meetings(texts: DataFrame, root: DataFrame, percent: int, slots: int = SLOTS) -> DataFrame:
     """The pairs of prefix_meetings, some of them several times: a pair that shares one of the EARLIER shingles before has met there, with more left in both."""
 
+    shared = texts.sparkSession.sparkContext.broadcast(_commonness(texts, slots).tobytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.frombuffer(shared.value, dtype=np.uint8)
         for b in sliced(batches):
             value, at = shingle_sets(Texts(b.column("text")))
-            n = np.diff(at)
-            cols = [b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(value.view(np.int64)), pa.array(np.repeat(n, n), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shingle", "size"])
-
-    rows = materialize(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long, size long"), "shingles")
-    shared = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
-    # those that no other set has come first and meet nothing
-    mine = Window.partitionBy("doc_id")
-    order = mine.orderBy("n", "shingle")
-    shared = shared.withColumn("place", F.col("size") - F.count("*").over(mine) + F.row_number().over(order))
-    shared = shared.withColumn("earlier", F.collect_list("shingle").over(order.rowsBetween(-EARLIER, -1)))
-    first = shared.where(F.expr(f"place <= size - ({percent} * size + 99) div 100 + 1")).select("doc_id", "shingle", "size", "place", "earlier")
-    met = materialize(first.join(root, "doc_id"), "prefixes")
+            row, level = np.repeat(np.arange(b.num_rows), np.diff(at)), common[_slot(value, slots)]
+            order = np.lexsort((value, level, row))
+            value, level, size = value[order], level[order], np.diff(at)[row]
+            place = np.arange(len(value)) - at[row] + 1
+            # those that no other set has come first and meet nothing
+            first = np.flatnonzero((level > 0) & (place <= size - (percent * size + 99) // 100 + 1))
+            alone = np.bincount(row[level == 0], minlength=b.num_rows)
+            n = np.minimum(first - (at[:-1] + alone)[row[first]], EARLIER)
+            ends = np.cumsum(n)
+            earlier = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), value[np.repeat(first - ends, n) + np.arange(n.sum())].view(np.int64))
+            of = pa.array(row[first])
+            cols = [b.column("doc_id").take(of), b.column("root").take(of), *(pa.array(c[first].astype(np.int64)) for c in (value.view(np.int64), size, place)), earlier]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "root", "shingle", "size", "place", "earlier"])
+
+    rows = texts.join(root.select("doc_id", "root"), "doc_id").select("doc_id", "root", "text")
+    met = materialize(rows.mapInArrow(run, "doc_id long, root long, shingle long, size long, place long, earlier array<long>"), "prefixes")
     x, y = (met.select("shingle", F.col("doc_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "size", "place", "earlier"))) for c in ("a", "b"))
     enough = f"{100 + percent} * (1 + least(size_a - place_a, size_b - place_b)) >= {percent} * (size_a + size_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
     return x.join(y, "shingle").where(f"a < b and root_a <> root_b and {enough} and not arrays_overlap(earlier_a, earlier_b)").select("a", "b")
